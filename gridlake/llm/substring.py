@@ -36,6 +36,8 @@ from gridlake.llm.common import WORD, input_columns, materialize, texts
 WINDOW = 35
 GRAM = 8
 KNOWN_WORDS = 400_000
+#: Distinct regions that one automaton takes at most.
+SHARD = 16
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -252,12 +254,13 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.lit("row"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard: int = 128) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """(row, spans): for each row (``row_key``) with repeated windows, the word spans [first, last) to remove."""
     source = docs.select(row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     regions = materialize(source.mapInArrow(_cut, "row long, start int, windows int, name long, content long, itself boolean"), "regions")
     counted = regions.groupBy("name").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("itself").alias("itself"))
-    repeated = counted.where("n > 1 or itself").select("name", F.expr("low <> high or itself").alias("mixed"))
+    # sides of later joins are written first: each then has a shuffle of its own, and a name or region with many copies can be split there
+    repeated = materialize(counted.where("n > 1 or itself").select("name", F.expr("low <> high or itself").alias("mixed")), "names")
     found = materialize(regions.drop("itself").join(repeated, "name"), "repeated")
 
     distinct = found.where("mixed").groupBy("name", "content").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "windows")).alias("at"))
@@ -271,9 +274,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     small = content.where(F.col("regions") <= shard).select("name", "content", "times", "words").repartition("name").sortWithinPartitions("name")
     spans = small.mapInArrow(_solve, "name long, content long, first int, last int")
     crowd = content.where(F.col("regions") > shard).select("name", "content", "times", "words").dropDuplicates(["name", "content"]).mapInArrow(_windows, "name long, content long, times long, first int, key binary")
-    twice = crowd.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
+    twice = materialize(crowd.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), "windows")
     spans = spans.unionByName(crowd.join(twice, "key").select("name", "content", "first", (F.col("first") + WINDOW).alias("last")))
-    by_region = spans.groupBy("name", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts"))
+    by_region = materialize(spans.groupBy("name", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts")), "spans")
 
     whole = found.where("not mixed").select("row", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("last"))).alias("parts"))
     partly = found.where("mixed").join(by_region, ["name", "content"]).select("row", F.expr("transform(parts, p -> struct(p.first + start as first, p.last + start as last))").alias("parts"))
@@ -290,7 +293,7 @@ def _gone(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(m) for m in merged]
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard: int = 128) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, ``removed`` (word spans) and ``kept`` (kept words, joined by one space).
 
     A null text has no words and ``kept`` is empty.  Rows that repeat are occurrences of their own: all lose their windows.
@@ -336,7 +339,7 @@ def cut_text(text: str, gone: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[end:]]).decode()
 
 
-def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, shard: int = 128) -> DataFrame:
+def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, shard: int = SHARD) -> DataFrame:
     """``docs`` with the repeated spans cut from their texts and ``chars_col`` (if given) set to the new length; no row goes."""
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, shard=shard)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text_col).alias("row"))
