@@ -47,11 +47,10 @@ def running_total(rows: DataFrame, order: str, step: str, name: str, span: int =
     return ranged.join(before, "_range").select(order, (F.sum(step).over(inside) + F.col("_before")).alias(name))
 
 
-def rebuild_at_time(log: DataFrame, schema: Schema, geometry: Geometry, at: DataFrame) -> DataFrame:
-    """The state at a time (``at``: one row, column ``at``).  Times may go back, so the cut is the first revision that is later."""
-    first = log.crossJoin(F.broadcast(at.limit(1))).where("commit_time_ms > at").agg(F.min("rev").alias("_cut"))
-    cut = log.join(F.broadcast(first)).where(F.col("_cut").isNull() | (F.col("rev") < F.col("_cut"))).drop("_cut")
-    return wl.fold(cut, schema, geometry)
+def rebuild_at_time(log: DataFrame, schema: Schema, geometry: Geometry, at_ms: int) -> DataFrame:
+    """The state at a time.  Times may go back, so the cut is the first revision that is later; one number comes to the driver."""
+    cut = log.where(F.col("commit_time_ms") > at_ms).agg(F.min("rev")).first()[0]
+    return wl.fold(log, schema, geometry, upto=None if cut is None else cut - 1)
 
 
 def timelapse(log: DataFrame, schema: Schema, geometry: Geometry, frames: list[int]) -> DataFrame:

@@ -309,6 +309,13 @@ def f08_chunk_forms(spark, sf_dir):
     return forms.select("rev", "cx", "cy", F.size("cells").cast("long").alias("blocks"), content.alias("content"))
 
 
+@query("SELECT min(rev) AS rev, CASE WHEN rev >= 700 THEN 3 WHEN rev >= 300 THEN 2 ELSE 1 END AS schema_version FROM hist WHERE effective GROUP BY 2")
+def f09_schema_events(spark, sf_dir):
+    """The first change under each schema version; its column description goes before it."""
+    e = Events(spark, sf_dir)
+    return feed.schema_events(feed.changes(e.log, e.schema, e.geometry), [(0, 1), (300, 2), (700, 3)])
+
+
 @query("SELECT CAST(max(rev) AS BIGINT) AS frontier, CAST(count(*) AS BIGINT) AS changes FROM hist WHERE effective")
 def f10_progress(spark, sf_dir):
     e = Events(spark, sf_dir)
@@ -365,7 +372,7 @@ def p05_running_total(spark, sf_dir):
 def p06_rebuild_at_time(spark, sf_dir):
     """The state at a time: all revisions before the first that is later."""
     e = Events(spark, sf_dir)
-    at = e.log.where("rev = 600").select(F.col("commit_time_ms").alias("at"))
+    at = e.log.where("rev = 600").first()["commit_time_ms"]
     return patterns.rebuild_at_time(e.log, e.schema, e.geometry, at).select("x", "y", *big("kind"), "value")
 
 

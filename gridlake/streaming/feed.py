@@ -65,12 +65,11 @@ def chunk_forms_at_commits(log: DataFrame, schema: Schema, geometry: Geometry) -
     return joined.groupBy("rev", *geometry.chunks).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
 
 
-def schema_events(found: DataFrame, versions: DataFrame) -> DataFrame:
-    """Revisions before which the schema changed: (rev, schema_version).  ``versions`` says from which revision a version holds."""
-    numbered = found.select("rev").distinct().join(F.broadcast(versions.select("since", "schema_version")), F.col("rev") >= F.col("since"))
-    current = numbered.groupBy("rev").agg(F.max("schema_version").alias("schema_version"))
-    first = current.groupBy("schema_version").agg(F.min("rev").alias("rev"))
-    return first.select("rev", "schema_version")
+def schema_events(found: DataFrame, versions: list[tuple[int, int]]) -> DataFrame:
+    """(rev, schema_version): the first change under each schema version.  ``versions`` says from which revision a version holds."""
+    held = F.array(*[F.struct(F.lit(a).cast("long").alias("since"), F.lit(v).alias("v")) for a, v in versions])
+    current = F.array_max(F.transform(F.filter(held, lambda h: h["since"] <= F.col("rev")), lambda h: h["v"]))
+    return found.select("rev", current.alias("schema_version")).groupBy("schema_version").agg(F.min("rev").alias("rev")).select("rev", "schema_version")
 
 
 @dataclass(frozen=True)
