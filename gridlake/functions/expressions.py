@@ -388,7 +388,7 @@ def exact_floor(f: Col) -> Col:
     """Floor of a finite float below 1e38 as a decimal, bit for bit; Spark's own cast goes through rounded text."""
     big = F.lit(2.0**64)
     high = F.floor(f / big).cast("double")
-    rest = F.floor(f) - high * big
+    rest = f - high * big  # a float this large is whole
     middle = F.floor(rest / F.lit(2.0**32)).cast("double")
     low = rest - middle * F.lit(2.0**32)
     part = lambda c: c.cast("bigint").cast(WIDE)
@@ -401,7 +401,7 @@ def order_int_float(i: Col, f: Col) -> Col:
     """-1, 0 or 1 as an integer is below, equal to or above a float that isn't NaN; null if either is."""
     bound = F.lit(9.9e37)
     whole = exact_floor(f)
-    inside = F.when(i < whole, -1).when(i > whole, 1).when(f > F.floor(f), -1).otherwise(0)
+    inside = F.when(i < whole, -1).when(i > whole, 1).when((F.abs(f) < F.lit(2.0**62)) & (f > F.floor(f)), -1).otherwise(0)
     return F.when(i.isNull() | f.isNull(), F.lit(None).cast("int")).when(f >= bound, -1).when(f <= -bound, 1).otherwise(inside)
 
 
@@ -600,8 +600,7 @@ def store(column: Any, node: Node, value: Col) -> Col:
     elif kind == F32:
         value = value.cast("double")
         finite = ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-        # up to half a step above the largest float a value rounds to it
-        made = F.when(~finite | (F.abs(value) < F.lit(F32_MAX * (1 + 2.0**-25))), value.cast("float"))
+        made = F.when(~finite | (F.abs(value) <= F.lit(F32_MAX)), value.cast("float"))
     elif kind.family == "float":
         made = value.cast("double")
     elif kind.kind in ("text", "bytes"):

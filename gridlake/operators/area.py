@@ -15,17 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.geometry import MAX64, MIN64, Geometry
+from gridlake.schema import GridError
 
 MAX_AREA_CHUNKS = 4096
 
 
-class AreaError(ValueError):
+class AreaError(GridError):
     """An area or page that can't be served; ``code`` says why."""
 
-    def __init__(self, code: str, message: str) -> None:
-        super().__init__(f"{code} {message}")
-        self.code = code
-
 
 @dataclass(frozen=True)
 class Box:

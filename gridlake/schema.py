@@ -261,9 +261,28 @@ class Schema:
             raise invalid(f"column {name} can't change from {column.type} to {kind}")
         if policy == "CLAMP" and kind.family not in ("int", "float") or policy == "TRUNCATE" and kind.family not in ("text", "bytes", "bits"):
             raise invalid(f"USING {policy} doesn't fit {kind}")
-        columns = [replace(c, type=kind) if c is column else c for c in self.columns]
+        columns = [self._retyped(c, kind, policy) if c is column else c for c in self.columns]
         return self._with("block", columns, Change("type", "block", column, self.columns.index(column), "", kind, policy))
 
+    @staticmethod
+    def _retyped(column: Column, kind: Type, policy: str) -> Column:
+        """The column under its new type; a default that doesn't fit is converted as the values are."""
+        value = column.default
+        if column.has_default and value is not None:
+            if kind.family == "int" and not kind.range[0] <= value <= kind.range[1]:
+                if policy != "CLAMP":
+                    raise invalid(f"the default {value} doesn't fit {kind}")
+                value = min(max(value, kind.range[0]), kind.range[1])
+            elif kind == Type("f", 32) and abs(value) != float("inf") and abs(value) > F32_MAX:
+                value = F32_MAX if value > 0 else -F32_MAX
+            elif kind.kind == "bits":
+                value = value[: kind.size].ljust(kind.size, "0")
+            elif kind.kind == "bytes":
+                value = value[: kind.size]
+            elif kind.kind == "text":
+                value = value.encode()[: kind.size].decode(errors="ignore")
+        return replace(column, type=kind, default=value)
+
     def at(self, version: int) -> Schema:
         """The schema as it was, by undoing steps from the last."""
         if not 1 <= version <= self.version:

@@ -185,8 +185,8 @@ def stream_changes(log_stream: DataFrame, read_state: Callable[[], DataFrame], w
         touched = batch.select(*geometry.blocks).distinct()
         state = read_state().join(touched, geometry.blocks, "left_semi")
         columns = [c.name for c in schema.columns]
-        base = state.select(F.lit(-1).cast("long").alias("rev"), *geometry.blocks, F.lit("S").alias("op"), F.lit(None).cast("array<string>").alias("names"), *columns)
-        # -1 is below every revision; ranges are cut at multiples, so it starts the first range as a set of all columns
+        base = state.select(F.lit(0).cast("long").alias("rev"), *geometry.blocks, F.lit("S").alias("op"), F.lit(None).cast("array<string>").alias("names"), *columns)
+        # 0 is below every revision: the state enters the history as sets of all columns
         merged = batch.unionByName(base, allowMissingColumns=True)
         write(changes(merged, schema, geometry, after=0, area=area), number)
 
