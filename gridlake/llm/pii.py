@@ -32,7 +32,8 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
-AFTER_CUE = re.compile(r"(?:\s?(?:number|no\.?|id|is))?[\s:=#\"']{1,4}([A-Za-z0-9][A-Za-z0-9-]{4,63})(?![A-Za-z0-9])")
+AFTER_CUE = re.compile(r"(?:\s?(?:number|no\.?|id|is))?[\s:=#\"']{1,4}")
+IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{4,63}(?![A-Za-z0-9])")
 USER_PART = re.compile(r"[^\s/?#@]+@[^\s/?#]+")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 
@@ -102,14 +103,15 @@ def find(text: str | None, automaton: ahocorasick.Automaton) -> dict[str, list[t
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     spans["phone"].append(m.span())
         elif what == "cue":
-            if end >= accounts and (m := AFTER_CUE.match(text, end + 1)):
-                start, stop = m.span(1)
-                if (long := IBAN.match(text, start)) and iban_valid(long[0].replace(" ", "")):
-                    stop = long.end()
-                elif sum(c.isdigit() for c in m[1]) < 4:
-                    continue
-                spans["account"].append((start, stop))
-                accounts = stop
+            if end >= accounts and (lead := AFTER_CUE.match(text, end + 1)):
+                start = lead.end()
+                m = IBAN.match(text, start)
+                if not m or not iban_valid(m[0].replace(" ", "")):
+                    m = IDENTIFIER.match(text, start)
+                    if not m or sum(c.isdigit() for c in m[0]) < 4:
+                        continue
+                spans["account"].append(m.span())
+                accounts = m.end()
         elif end >= urls:
             start = _label_left(text, end - 2, urls, SCHEME)
             if start < end - 2 and (m := USER_PART.match(text, end + 1)):

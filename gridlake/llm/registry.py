@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import ann, bpe, chat, langid, licenses, packing, pii, quality, simhash, substring
+from gridlake.llm import ann, bpe, chat, langid, licenses, packing, pii, quality, simhash, sql, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,4 +104,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"op2_license_scan": sql.license_scan(), "op7_substring_dedup": sql.SUBSTRING, "op9_chat_format": sql.CHAT}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

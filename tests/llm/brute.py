@@ -51,17 +51,28 @@ def personal(text):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def repeated(texts, size=35):
-    """(n_words, n_removed, kept) of each text."""
+def covered(texts, size=35):
+    """Positions of the words to remove, for each text."""
     split = [WORD.findall(t or "") for t in texts]
     count = Counter(tuple(w[i : i + size]) for w in split for i in range(len(w) - size + 1))
+    return [{i + j for i in range(len(w) - size + 1) if count[tuple(w[i : i + size])] > 1 for j in range(size)} for w in split]
+
+
+def repeated(texts, size=35):
+    """(n_words, n_removed, kept) of each text."""
     out = []
-    for words in split:
-        gone = {i + j for i in range(len(words) - size + 1) if count[tuple(words[i : i + size])] > 1 for j in range(size)}
+    for text, gone in zip(texts, covered(texts, size)):
+        words = WORD.findall(text or "")
         out.append((len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
     return out
 
 
+def without(text, gone):
+    """The text without some words and the white space after them."""
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    return text[: starts[0]] + "".join(text[a:b] for i, (a, b) in enumerate(zip(starts, starts[1:])) if i not in gone)
+
+
 def simhash(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
