@@ -216,3 +216,35 @@ def overlay(snapshot: DataFrame, private: DataFrame, geometry: Geometry) -> Data
     """A transaction's view: its snapshot's blocks, with private rows instead where it wrote (``op`` 'S' or 'D')."""
     untouched = snapshot.join(private.select(*geometry.blocks), geometry.blocks, "left_anti")
     return untouched.unionByName(private.where("op = 'S'").select(*snapshot.columns))
+
+
+def changed_since(touched: DataFrame, chunks: DataFrame, geometry: Geometry, snapshot: int) -> DataFrame:
+    """Chunks with ``changed``: whether their version is above a snapshot; one never written hasn't changed."""
+    joined = touched.join(chunks.select(*geometry.chunks, "version"), geometry.chunks, "left")
+    return joined.withColumn("changed", F.coalesce(F.col("version") > snapshot, F.lit(False)))
+
+
+def rebase(preimage: DataFrame, delta: DataFrame, current: DataFrame, schema: Schema, geometry: Geometry) -> DataFrame:
+    """Row-level conflicts: a delta ('S' with full rows, or 'D') applies to the current blocks if its rows are as they were.
+
+    ``preimage`` holds the blocks that were seen (absent ones aren't there).  A row that was changed and changed back doesn't conflict.  Result: coordinates,
+    ``op``, ``conflict`` and the columns to write.
+    """
+    keys, columns = geometry.blocks, [c.name for c in schema.columns]
+    side = lambda df, name: df.select(*keys, F.struct(*columns).alias(name))
+    joined = delta.join(side(preimage, "_was"), keys, "left").join(side(current, "_now"), keys, "left")
+    unchanged = F.col("_was").isNull() & F.col("_now").isNull()
+    both = F.col("_was").isNotNull() & F.col("_now").isNotNull()
+    for c in schema.columns:
+        both = both & same(F.col(f"_was.{c.name}"), F.col(f"_now.{c.name}"), c)
+    return joined.select(*keys, "op", (~(unchanged | F.coalesce(both, F.lit(False)))).alias("conflict"), *columns)
+
+
+def transform_chunks(blocks: DataFrame, geometry: Geometry, **made: Col) -> DataFrame:
+    """Read-modify-write of whole chunks: columns made from each chunk's own aggregates, given as window-free Columns over the chunk.
+
+    The aggregates are computed once per chunk and joined back, so a chunk isn't gathered in one task.
+    """
+    at = geometry.addressed(blocks)
+    totals = at.groupBy(*geometry.chunks).agg(*[v.alias(k) for k, v in made.items()])
+    return at.join(totals, geometry.chunks)
