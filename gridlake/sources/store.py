@@ -331,6 +331,46 @@ class Table:
         """Metadata of chunks: chunk coordinates and the columns to set; others keep their values."""
         return self.write(rows, user=user, domain="chunk")
 
+    def merge_segments(self, least: int = 2) -> int:
+        """Write segments of one domain and schema version as one, history and all; returns how many were merged.
+
+        Rows carry their revisions, so nothing is lost.  Readers of earlier manifests keep the old files until ``vacuum``.
+        """
+        m = self.manifest
+        groups: dict[tuple[str, int], list[dict]] = {}
+        for s in m.segments:
+            groups.setdefault((s["domain"], s["schema_version"]), []).append(s)
+        merged: dict[str, dict] = {}
+        gone: set[str] = set()
+        base = f"{self.store.files.root}/{self.folder}"
+        for (domain, version), parts in groups.items():
+            if len(parts) >= least:
+                shape = self._shape(m.schema.at(version), m.geometry, domain)
+                rows = self.spark.read.schema(shape).option("basePath", base).parquet(*[f"{base}/{s['path']}" for s in parts]).drop("segment")
+                name = f"data/segment={uuid.uuid4().hex}"
+                # one task per large chunk's rows, so that a large chunk is one file and not one per task
+                rows.repartition(*[F.col(x) for x in m.geometry.larges]).sortWithinPartitions(*m.geometry.larges, *m.geometry.chunks, "rev").write.partitionBy(*m.geometry.larges).parquet(f"{base}/{name}")
+                merged[parts[0]["path"]] = {"path": name, "domain": domain, "schema_version": version, "rev": max(s["rev"] for s in parts)}
+                gone |= {s["path"] for s in parts}
+
+        def step(now: Manifest) -> Manifest:
+            if not gone <= {s["path"] for s in now.segments}:
+                raise GridError("CONFLICT", "segments were merged meanwhile")
+            kept = [merged[s["path"]] if s["path"] in merged else s for s in now.segments if s["path"] in merged or s["path"] not in gone]
+            return replace(now, segments=tuple(kept))
+
+        if gone:
+            self._push(step)
+        return len(gone)
+
+    def vacuum(self) -> int:
+        """Delete segments that the last manifest doesn't name; run it when no reader uses earlier ones."""
+        used = {s["path"].split("/", 1)[1] for s in self.manifest.segments}
+        stale = [n for n in self.store.files.names(f"{self.folder}/data") if n not in used]
+        for n in stale:
+            self.store.files.delete(f"{self.folder}/data/{n}")
+        return len(stale)
+
     def compact_tombstones(self, before: int) -> int:
         """Forget tombstones with versions below ``before``; the floor only rises."""
         return self._push(lambda m: replace(m, floor=max(m.floor, min(before - 1, m.revision)) if before > 1 else m.floor)).floor

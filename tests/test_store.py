@@ -194,3 +194,18 @@ def test_two_writers(spark, tmp_path):
         table.write(spark.createDataFrame([(5, 5, 1), (5, 5, 2)], "x long, y long, k int"))
     txn = Transaction(table)
     assert txn.blocks(areas.Box((0, 0), (0, 0))).count() == 2
+
+
+def test_merged_segments_keep_history(spark, tmp_path):
+    from gridlake.schema import parse_column
+
+    table = Store(spark, str(tmp_path / "s")).create("t", parse_schema("k u8"), Geometry((4, 4), (2, 2)))
+    for n in range(4):
+        table.write(spark.createDataFrame([(n * 5, -n, n), (0, 0, n)], "x long, y long, k int") if n else spark.createDataFrame([(0, 0, 9)], "x long, y long, k int"))
+    table.alter(lambda s: s.add(parse_column("note text(4) NULL")))
+    table.write(spark.createDataFrame([(0, 0, "n")], "x long, y long, note string"))
+    look = lambda: (sorted(map(repr, table.blocks().collect())), sorted(map(repr, table.changes().collect())), sorted(map(repr, table.identities().collect())))
+    before = look()
+    assert table.merge_segments() == 4 and look() == before
+    assert table.vacuum() == 4 and look() == before and table.verify() == []
+    assert table.merge_segments() == 0
