@@ -84,19 +84,13 @@ class Lines:
 
     @cached_property
     def log(self) -> DataFrame:
-        """(order, line) orders the writes of a cell; both go into one revision."""
+        """(order, line) orders the writes of a cell; both go into one revision.  Of rows that tie, the one with the largest values writes."""
         t = table(self.spark, self.sf_dir, "lineitem")
         axes = {"x": "l_partkey", "y": "l_suppkey", "z": "cast(l_linenumber as bigint)"}
-        return t.select(
-            F.expr("l_orderkey * 16 + l_linenumber").alias("rev"),
-            F.lit(0).cast("long").alias("commit_time_ms"),
-            *[F.expr(axes[b]).alias(b) for b in self.geometry.blocks],
-            F.lit("S").alias("op"),
-            F.lit(None).cast("array<string>").alias("names"),
-            F.col("l_quantity").cast("smallint").alias("qty"),
-            F.col("l_discount").alias("discount"),
-            F.col("l_returnflag").alias("flag"),
-        )
+        keys = [F.expr("l_orderkey * 16 + l_linenumber").alias("rev"), *[F.expr(axes[b]).alias(b) for b in self.geometry.blocks]]
+        row = F.struct(F.col("l_quantity").cast("smallint").alias("qty"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"))
+        rows = t.groupBy(*keys).agg(F.max(row).alias("row"))
+        return rows.select("rev", F.lit(0).cast("long").alias("commit_time_ms"), *self.geometry.blocks, F.lit("S").alias("op"), F.lit(None).cast("array<string>").alias("names"), "row.*")
 
     @cached_property
     def live(self) -> DataFrame:
@@ -146,9 +140,9 @@ meta AS (
 lines AS (
   SELECT x, y, qty, discount, flag, {fdiv("x", 16)} AS cx, {fdiv("y", 16)} AS cy, {fmod("x", 16)} + 16 * {fmod("y", 16)} AS idx FROM (
     SELECT l_partkey AS x, l_suppkey AS y, CAST(l_quantity AS BIGINT) AS qty, l_discount AS discount, l_returnflag AS flag,
-      row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS k FROM lineitem) WHERE k = 1),
+      row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_discount DESC, l_returnflag DESC) AS k FROM lineitem) WHERE k = 1),
 volume AS (
   SELECT x, y, z, qty, discount, flag, {fdiv("x", 16)} AS cx, {fdiv("y", 16)} AS cy, {fdiv("z", 4)} AS cz FROM (
     SELECT l_partkey AS x, l_suppkey AS y, CAST(l_linenumber AS BIGINT) AS z, CAST(l_quantity AS BIGINT) AS qty, l_discount AS discount, l_returnflag AS flag,
-      row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_linenumber ORDER BY l_orderkey DESC) AS k FROM lineitem) WHERE k = 1)
+      row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_linenumber ORDER BY l_orderkey DESC, l_quantity DESC, l_discount DESC, l_returnflag DESC) AS k FROM lineitem) WHERE k = 1)
 """
