@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -71,24 +72,25 @@ def reply_paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
     nodes = materialize(messages.select("tree", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     known = (F.col("tree").eqNullSafe(F.col("t"))) & (F.col("parent") == F.col("p"))
-    # (node, ancestor 2^k steps up or null, steps taken, score on the way)
-    jump = nodes.join(there, known, "left").select("tree", "node", F.col("p").alias("up"), F.lit(1).cast("long").alias("steps"), "score")
-    jumps, limit = [], nodes.count()
+    # (node, ancestor 2^k steps up or null, steps taken, score on the way); a message that has reached its root is done and joins no more
+    state = nodes.join(there, known, "left").select("tree", "node", F.col("p").alias("up"), F.lit(1).cast("long").alias("steps"), "score")
+    jumps, done, limit = [], [], nodes.count()
     while True:
-        jump = materialize(jump, "jump")
-        jumps.append(jump)
-        if jump.where("up is not null").isEmpty() or (1 << len(jumps)) > 2 * limit:
+        state = materialize(state, "jump")
+        done.append(state.where("up is null"))
+        jumps.append(state.where("up is not null"))
+        if jumps[-1].isEmpty() or (1 << len(jumps)) > 2 * limit:
             break
-        far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
+        far = reduce(DataFrame.unionByName, [*done, jumps[-1]]).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
         on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))
-        jump = jump.join(far, on, "left").select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-    whole = jumps[-1].where("up is null")
-    parents = jumps[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+        state = jumps[-1].join(far, on).select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score"))
+    whole = reduce(DataFrame.unionByName, done)
+    parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = whole.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
     walk = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches).select("tree", "branch", "node")
     for jump in reversed(jumps):
-        step = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        step = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = walk.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "branch", F.col("up").alias("node"))
         walk = materialize(walk.unionByName(above), "walk")
     where = whole.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("steps").alias("place"))
