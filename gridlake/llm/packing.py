@@ -17,6 +17,7 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -32,28 +33,33 @@ CAPACITY = 2048
 CLASSES = 128
 #: A pattern's last slot may stay this many tokens short; a wider gap is left to best fit.
 SLACK = 2
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 400_000
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 class WordIds(dict):
     """Word (a run of anything but ASCII space, lower-cased in A-Z) to its ids as 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.  Words met since the last
+    ``KNOWN_WORDS`` new ones are kept, and those of the generation before until they are met again or forgotten.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.before: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= KNOWN_WORDS:
+            self.before = dict(self)
             self.clear()
-        stem = word.rstrip(b".,")
-        if stem and stem != word and stem[-1:].isalnum():
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        ids = self.before.pop(word, None)
+        if ids is None:
+            stem = word.rstrip(b".,")
+            if stem and stem != word and stem[-1:].isalnum():
+                ids = self[stem] + self[word[len(stem) :]]
+            else:
+                ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
@@ -61,6 +67,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (data or b"").lower().split()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, *, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Token pieces: doc_id, piece, start, length, ids_crc32, ``part`` and ``nth`` (number among the part's pieces of this length), and ``ids`` if asked for.
 
@@ -72,7 +84,7 @@ def pieces(docs: DataFrame, *, tokenizer: str = TOKENIZER, capacity: int = CAPAC
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, part = WordIds(tokenizer), Counter(), TaskContext.get().partitionId()
+        words, seen, part = word_ids(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows, index = [], []
             for k, data in enumerate(texts(batch)):
