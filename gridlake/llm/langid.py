@@ -4,126 +4,113 @@ A language's profile is its ``PROFILE`` most frequent n-grams (1 to 3 letters, w
 own most frequent n-grams are ranked the same way; its distance to a language is the sum over them of how far
 each is out of place, ``PROFILE`` for one that isn't in the profile.  The nearest language wins.
 
-Profiles count all n-grams of all documents to learn from.  They hold languages x ``PROFILE`` n-grams.
+N-grams are numbers: three code points of 21 bits.  Texts are turned into arrays of them and counted by sorting, so no table of words or n-grams
+grows.  Profiles count all n-grams of all documents to learn from, and hold languages x ``PROFILE`` of them.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import input_columns
 
 PROFILE = 400
-LONGEST = 3
-KNOWN_GRAMS = 200_000
-KNOWN_WORDS = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: N-grams that are counted together while learning.
+TOGETHER = 1 << 20
+SPACE = 32
 
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def tie(gram: str) -> int:
-    """Order of equally frequent n-grams."""
-    return xxhash.xxh32_intdigest(gram)
+def grams(text: str | None) -> np.ndarray:
+    """All n-grams of a text, repeats included, as numbers: within lower-cased words, padded by one space on either side.
+
+    A number of one code point, two or three can't be mistaken for another length, as the first is never 0.
+    """
+    if not text:
+        return np.empty(0, dtype=np.int64)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    is_letter = letters()[points]
+    after = np.concatenate(([False], is_letter[:-1]))
+    kept = np.where(is_letter, points, SPACE)[is_letter | after]  # a run of other characters is one space
+    if not len(kept) or not is_letter.any():
+        return np.empty(0, dtype=np.int64)
+    s = np.concatenate(([SPACE], kept, np.full(int(is_letter[-1]), SPACE)))
+    pairs = (s[:-1] << 21) | s[1:]
+    triples = (pairs[:-1] << 21) | s[2:]
+    return np.concatenate((s[s != SPACE], pairs, triples[s[1:-1] != SPACE]))
+
+
+def spelt(gram: int) -> str:
+    return "".join(chr(x) for x in (gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if x)
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = defaultdict(Counter)
-    words: dict[str, Counter] = defaultdict(Counter)
-
-    def flush() -> None:
-        for lang, found in words.items():
-            for word, n in found.items():
-                for gram in grams(word):
-                    counts[lang][gram] += n
-        words.clear()
-
-    def packed() -> pa.RecordBatch:
-        rows = [(lang, gram, n) for lang, found in counts.items() for gram, n in found.items()]
-        counts.clear()
-        cols = list(zip(*rows)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "gram", "n"])
+    waiting: dict[str, list[np.ndarray]] = defaultdict(list)
+    sizes: dict[str, int] = defaultdict(int)
+
+    def counted(lang: str) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
+        sizes[lang] = 0
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words[lang].update(LETTERS.findall(text.lower()))
-            if sum(map(len, words.values())) > KNOWN_WORDS:
-                flush()
-        if sum(map(len, counts.values())) > KNOWN_GRAMS:
-            yield packed()
-    flush()
-    yield packed()
+            found = grams(text)
+            waiting[lang].append(found)
+            sizes[lang] += len(found)
+            if sizes[lang] > TOGETHER:
+                yield counted(lang)
+    for lang in list(waiting):
+        yield counted(lang)
 
 
 def profiles(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> DataFrame:
-    """(lang, gram, place): each language's ``size`` most frequent n-grams, place from 0.  Rows with a null text or language teach nothing."""
+    """(lang, gram, place): each language's ``size`` most frequent n-grams, place from 0, ties by number.  Rows with a null text or language teach nothing."""
     d = input_columns(docs, lang=lang_col, text=text_col).where("text is not null and lang is not null")
-    counted = d.mapInArrow(_learn, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = d.mapInArrow(_learn, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counted.withColumn("place", F.row_number().over(best) - 1).where(F.col("place") < size).select("lang", "gram", "place")
 
 
 class Ranker:
-    """Distances of one text to each language; n-grams are numbered as they are met, and forgotten when there are too many."""
+    """Distances of texts to each language."""
 
-    def __init__(self, places: dict[str, dict[str, int]], size: int = PROFILE) -> None:
+    def __init__(self, places: dict[str, dict[int, int]], size: int = PROFILE) -> None:
         self.languages = sorted(places)
-        self.places = [places[x] for x in self.languages]
         self.size = size
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.known: dict[str, np.ndarray] = {}
-        self.out = np.full((len(self.languages), 1024), self.size, dtype=np.int64)
-        self.ties = np.zeros(1024, dtype=np.uint32)
-
-    def word(self, word: str) -> np.ndarray:
-        ids = []
-        for gram in grams(word):
-            n = self.number.get(gram)
-            if n is None:
-                n = self.number[gram] = len(self.number)
-                if n == len(self.ties):
-                    self.ties = np.concatenate([self.ties, np.zeros(n, dtype=np.uint32)])
-                    self.out = np.concatenate([self.out, np.full((len(self.languages), n), self.size, dtype=np.int64)], axis=1)
-                self.ties[n] = tie(gram)
-                for k, places in enumerate(self.places):
-                    self.out[k, n] = places.get(gram, self.size)
-            ids.append(n)
-        found = self.known[word] = np.array(ids, dtype=np.int64)
-        return found
+        self.known = np.array(sorted({g for p in places.values() for g in p}), dtype=np.int64)
+        # the last column is for an n-gram that is in no profile
+        self.places = np.full((len(self.languages), len(self.known) + 1), -1, dtype=np.int64)
+        for k, lang in enumerate(self.languages):
+            own = np.array(list(places[lang]), dtype=np.int64)
+            self.places[k, np.searchsorted(self.known, own)] = list(places[lang].values())
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Nearest language and 1 less its distance as a share of the largest there is; equal distances go to the first language by name."""
-        words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or not self.languages:
+        found = grams(text)
+        if not len(found) or not self.languages:
             return UNKNOWN, 0.0
-        if len(self.number) > KNOWN_GRAMS or len(self.known) > KNOWN_WORDS:
-            self.forget()
-        known = self.known
-        parts = [known[w] if w in known else self.word(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(p) for p in parts])
-        ids, at = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(at, weights=times)
-        order = np.lexsort((ids if len(ids) < 2 else self.ties[ids], -counts))[: self.size]
-        far = np.abs(self.out[:, ids[order]] - np.arange(len(order)))
-        far[self.out[:, ids[order]] == self.size] = self.size
-        total = far.sum(axis=1)
-        best = int(np.argmin(total))
-        return self.languages[best], float(1 - total[best] / (self.size * len(order)))
+        own, n = np.unique(found, return_counts=True)
+        own = own[np.argsort(-n, kind="stable")[: self.size]]
+        at = np.searchsorted(self.known, own)
+        at[(at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != own)] = len(self.known)
+        places = self.places[:, at]
+        far = np.where(places < 0, self.size, np.abs(places - np.arange(len(own)))).sum(axis=1)
+        best = int(np.argmin(far))
+        return self.languages[best], float(1 - far[best] / (self.size * len(own)))
 
 
 def identify(docs: DataFrame, learned: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
@@ -133,13 +120,12 @@ def identify(docs: DataFrame, learned: DataFrame, *, id_col: str = "doc_id", tex
     """
     d = input_columns(docs, doc_id=id_col, text=text_col)
     id_type = d.schema["doc_id"].dataType.simpleString()
-    places: dict[str, dict[str, int]] = defaultdict(dict)
+    places: dict[str, dict[int, int]] = defaultdict(dict)
     for row in learned.collect():
         places[row.lang][row.gram] = row.place
-    places = dict(places)
+    ranker = Ranker(dict(places), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker = Ranker(places, size)
         for batch in batches:
             found = [ranker.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -291,24 +291,35 @@ def test_language(spark, sf):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    padded = [f" {w} " for w in words]
+    return Counter(p[i : i + n] for p in padded for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+
+
+def test_grams_against_brute_force(awkward):
+    for _, text in [*awkward, (0, "a"), (0, "²½ 5"), (0, "é1è"), (0, " x-y "), (0, "𐐷 İI")]:
+        assert Counter(map(langid.spelt, langid.grams(text).tolist())) == plain_grams(text), text
+
+
 def test_language_profiles_against_brute_force(spark, frame, small):
     learned = langid.profiles(small, size=50).collect()
     counts = defaultdict(Counter)
     for r in small.collect():
-        for word in langid.LETTERS.findall(r.text.lower()):
-            counts[r.lang].update(langid.grams(word))
+        counts[r.lang].update(plain_grams(r.text))
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], number(x[0])))[:50]]
     for lang, c in counts.items():
-        best = [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:50]]
-        assert [r.gram for r in sorted(learned, key=lambda r: r.place) if r.lang == lang] == best
+        assert [langid.spelt(r.gram) for r in sorted(learned, key=lambda r: r.place) if r.lang == lang] == ranked(c)
     places = defaultdict(dict)
     for r in learned:
         places[r.lang][r.gram] = r.place
     ranker = langid.Ranker(dict(places), 50)
-    for r in small.limit(30).collect():
-        c = Counter(g for w in langid.LETTERS.findall(r.text.lower()) for g in langid.grams(w))
-        own = [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], langid.tie(x[0])))[:50]]
-        far = {lang: sum(abs(p.get(g, 0) - k) if g in p else 50 for k, g in enumerate(own)) for lang, p in places.items()}
-        assert ranker.predict(r.text)[0] == min(sorted(far), key=far.get)
+    for r in small.limit(60).collect():
+        own = ranked(plain_grams(r.text))
+        far = {lang: sum(abs(p[number(g)] - k) if number(g) in p else 50 for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(far), key=far.get)
+        assert ranker.predict(r.text) == (best, pytest.approx(1 - far[best] / (50 * len(own))))
     for r in langid.identify(frame, langid.profiles(small)).where("doc_id in (1, 2, 3)").collect():
         assert (r.lang_pred, r.score) == ("und", 0.0)
 
