@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def work_root(spark: SparkSession) -> str:
     if not root:
         if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             root = tempfile.mkdtemp(prefix="gridlake-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         spark.conf.set("spark.checkpoint.dir", root)
