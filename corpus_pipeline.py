@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import packing, pii, quality, simhash, substring
+from gridlake.llm import minhash, packing, pii, quality, simhash, substring
 from gridlake.llm.common import materialize
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.thin(docs)
+    """One document of each group of near-duplicates stays: SimHashes within 2 bits, or 5-word shingle sets at a Jaccard similarity of 0.8."""
+    return simhash.thin(docs, more=minhash.links(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

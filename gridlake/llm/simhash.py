@@ -26,20 +26,29 @@ RADIUS = 2
 SHINGLE = 3
 
 
-def fingerprint(data: bytes | None, width: int = SHINGLE) -> int:
-    """64-bit SimHash; 0 for a text without words, or null."""
+def shingle_values(data: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 value of each shingle in order; none for a text without words, or null."""
     words = (data or b"").lower().split()
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
+    h = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([h(joined, 42)], dtype="<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: -width] + 1)).tolist()
-    h = xxhash.xxh64_intdigest
-    values = np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
+
+
+def majority(values: np.ndarray) -> np.uint64:
     ones = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0]
+
+
+def fingerprint(data: bytes | None, width: int = SHINGLE) -> int:
+    """64-bit SimHash; 0 for a text without words, or null."""
+    values = shingle_values(data, width)
+    return int(majority(values)) if len(values) else 0
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,24 +88,25 @@ def links(fps: DataFrame, *, bucket: int = 4096) -> DataFrame:
     return pairs
 
 
-def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket: int = 4096) -> DataFrame:
+def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket: int = 4096, more: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable), ``body``, ``root``.
 
     Null and empty texts have fingerprint zero and are linked like any other.  Rows that repeat give repeated rows.  A null id
-    never is the smallest; a component of null ids only has a null id.  ``root`` tells components apart.
+    never is the smallest; a component of null ids only has a null id.  ``root`` tells components apart.  ``more``: further pairs (a, b) of fingerprints to link.
     """
     marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     smallest = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(smallest.select("fp"), bucket=bucket))
+    linked = links(smallest.select("fp"), bucket=bucket)
+    roots = components(linked if more is None else linked.unionByName(more))
     found = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_root = found.groupBy("root").agg(F.min("least").alias("component_id"))
     named = found.join(by_root, "root").select("fp", "root", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "body", "root")
 
 
-def thin(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def thin(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, and among rows of one id that of the smallest text hash."""
-    marked = group(docs, id_col=id_col, text_col=text_col)
+    marked = group(docs, id_col=id_col, text_col=text_col, more=more)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     chosen = marked.groupBy("root").agg(F.min(first).alias("at"), F.count("*").alias("n")).select(F.col("at.doc_id").alias("_id"), F.col("at.body").alias("_body"), "n")
     match = F.expr(f"`{id_col}` <=> _id") & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_body"))

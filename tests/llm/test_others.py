@@ -168,3 +168,18 @@ def test_pipeline_against_its_stages_by_hand(spark, sf):
     last = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in last} == set(rows)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_near_duplicates_reach_jaccard(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    words = [brute.WORD.findall(t.lower()) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    leads = brute.groups([i for i, _ in rows], [brute.simhash(t) for _, t in rows])
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and leads[a] != leads[b] and len(x & y) / len(x | y) >= 0.8:
+                low, high = sorted((leads[a], leads[b]))
+                leads = [low if lead == high else lead for lead in leads]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    assert kept == set(leads) and not {145, 177} & kept
