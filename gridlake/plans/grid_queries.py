@@ -309,6 +309,15 @@ def f08_chunk_forms(spark, sf_dir):
     return forms.select("rev", "cx", "cy", F.size("cells").cast("long").alias("blocks"), content.alias("content"))
 
 
+@query("SELECT c.rev, c.cx, c.cy, CAST(count(s.idx) AS BIGINT) AS blocks, CAST(coalesce(sum(s.idx * (s.kind + 1)), 0) AS BIGINT) AS content FROM (SELECT DISTINCT rev, cx, cy FROM hist WHERE effective) c LEFT JOIN LATERAL (SELECT idx, kind FROM (SELECT idx, kind, here, row_number() OVER (PARTITION BY idx ORDER BY rev DESC) AS k FROM hist h WHERE h.cx = c.cx AND h.cy = c.cy AND h.rev <= c.rev) WHERE k = 1 AND here) s ON true GROUP BY c.rev, c.cx, c.cy")
+def f08_all_chunk_forms(spark, sf_dir):
+    """Each touched chunk's whole form after each commit, here summed up, for all chunks."""
+    e = Events(spark, sf_dir)
+    forms = feed.chunk_forms_at_commits(e.log, e.schema, e.geometry)
+    content = F.expr("aggregate(cells, 0L, (s, c) -> s + c.index * (c.row.kind + 1))")
+    return forms.select("rev", "cx", "cy", F.size("cells").cast("long").alias("blocks"), content.alias("content"))
+
+
 @query("SELECT min(rev) AS rev, CASE WHEN rev >= 700 THEN 3 WHEN rev >= 300 THEN 2 ELSE 1 END AS schema_version FROM hist WHERE effective GROUP BY 2")
 def f09_schema_events(spark, sf_dir):
     """The first change under each schema version; its column description goes before it."""

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gridlake import registry
+from gridlake.plans.views import Events
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -51,3 +52,10 @@ def test_nothing_outside_imports_the_training_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "gridlake.llm" not in path.read_text(), path
+
+
+def test_chunk_forms_of_all_chunks(spark, sf):
+    e = Events(spark, sf)
+    touched = {tuple(r) for r in e.geometry.addressed(e.history.where("effective")).select("rev", "cx", "cy").collect()}
+    got = {(r.rev, r.cx, r.cy) for r in registry.queries()["f08_all_chunk_forms"](spark, sf).collect()}
+    assert got == touched and len({t[1:] for t in got}) > 1
