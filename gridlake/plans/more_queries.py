@@ -68,6 +68,14 @@ def f12_resume(spark, sf_dir):
     return events.select("rev", F.size("blocks").cast("long").alias("blocks"), "commit_time_ms")
 
 
+@query("SELECT rev, count(*) AS blocks, max(commit_time_ms) AS commit_time_ms FROM hist WHERE effective AND rev > 300 GROUP BY rev")
+def f12_resume_to_frontier(spark, sf_dir):
+    """Events strictly after a position, up to the log's last commit: one per commit."""
+    e = Events(spark, sf_dir)
+    events = feed.events(feed.changes(e.log, e.schema, e.geometry, after=300), e.geometry)
+    return events.select("rev", F.size("blocks").cast("long").alias("blocks"), "commit_time_ms")
+
+
 @query(f"SELECT t.cx, t.cy, coalesce(i.version > {SNAPSHOT}, false) AS changed FROM (SELECT cx, cy FROM range(-4, 5) a(cx), range(-5, 6) b(cy)) t LEFT JOIN ident i USING (cx, cy)")
 def l05_changed_since(spark, sf_dir):
     e = Events(spark, sf_dir)
