@@ -1,7 +1,8 @@
 """License scans with DataFrame functions only.
 
 Lines that hold a license cue are compared with license templates by the cosine of their TF-IDF vectors.  A text's best
-line above ``LEAST`` names its license.  Files without one inherit from the licence file in their nearest ancestor directory, by joins on directory paths.
+line above ``LEAST`` names its license.  Runs of 2 to ``LONGEST`` lines around a cue, joined, are compared as well, so that wrapped headers
+count; comment marks are no terms.  An SPDX line names its license by identifier.  Files without one inherit from the licence file in their nearest ancestor directory, by joins on directory paths.
 
 Templates are fixed and few, so their weights stand in the plan as literals; nothing is exploded per word.  Directories
 are made distinct before they are joined, so a directory with a third of the files costs one row there.
@@ -33,6 +34,14 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 CUE = "(?i)licen[cs]|permission is hereby granted|redistribution and use in source"
+#: A cue that may be wrapped over lines.
+WRAPPED_CUE = CUE.replace(" ", r"\W+")
+LONGEST = 6
+#: Templates have up to 200 characters; a longer run than this has too many other words to come near one.
+RUN_CHARS = 1200
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]+)"
+#: Identifiers of one license besides its name.
+IDENTIFIERS = {"gpl-3.0-only": "GPL-3.0", "gpl-3.0-or-later": "GPL-3.0", "gpl-3.0+": "GPL-3.0"}
 LICENCE_FILE = "(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 
@@ -72,6 +81,28 @@ def best_match(line: Column) -> Column:
     return F.transform(F.array(counted), scored)[0]
 
 
+def runs(text: Column) -> Column:
+    """Joined runs of lines that hold a cue, also one that is wrapped."""
+
+    def of(lines: Column) -> Column:
+        joined = lambda start, n: F.array_join(F.slice(lines, start, n), " ")
+        cued = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: joined(i, F.lit(2)).rlike(WRAPPED_CUE))
+        starts = F.array_distinct(F.flatten(F.transform(cued, lambda i: F.sequence(F.greatest(F.lit(1), i - LONGEST + 1), F.least(F.size(lines), i + 1)))))
+        found = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.lit(LONGEST)), lambda n: joined(i, n))))
+        return F.filter(F.array_distinct(found), lambda x: (F.length(x) <= RUN_CHARS) & x.rlike(WRAPPED_CUE))
+
+    return F.transform(F.array(F.split(text, "\n")), of)[0]
+
+
+def identified(text: Column) -> Column:
+    """struct(score, name) for each SPDX line: the first license of its expression that has a template."""
+    known = {k.removesuffix(" notice").lower(): k.removesuffix(" notice") for k in TEMPLATES} | IDENTIFIERS
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    ids = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9.+-]+"), F.lit(0)), lambda i: names[i])
+    first = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: F.get(F.filter(ids(x), lambda i: i.isNotNull()), F.lit(0)))
+    return F.transform(F.filter(first, lambda i: i.isNotNull()), lambda i: F.struct(F.lit(1.0).alias("score"), i.alias("name")))
+
+
 def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per row of ``files``: id, path, ``own_license``, ``own_score``, ``license``, ``inherited_from``.
 
@@ -80,8 +111,9 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     a null path has no directory and inherits nothing.
     """
     f = files.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("text"))
-    lines = F.when(F.col("text").rlike(CUE), F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))).otherwise(F.array().cast("array<string>"))
-    best = F.array_max(F.transform(F.array_distinct(lines), best_match))
+    lines = F.concat(F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)), runs(F.col("text")))
+    found = F.concat(F.transform(F.array_distinct(lines), best_match), identified(F.col("text")))
+    best = F.when(F.col("text").rlike(WRAPPED_CUE), F.array_max(found))
     own = f.select("id", "path", best.alias("best")).select("id", "path", F.when(F.col("best.score") >= least, F.col("best.name")).alias("own_license"), F.coalesce(F.col("best.score"), F.lit(0.0)).alias("own_score"))
     own = own.withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
 

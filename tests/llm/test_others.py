@@ -183,3 +183,19 @@ def test_pipeline_near_duplicates_reach_jaccard(spark, sf):
                 leads = [low if lead == high else lead for lead in leads]
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
     assert kept == set(leads) and not {145, 177} & kept
+
+
+def test_wrapped_headers_and_identifiers(spark):
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nint x;"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\nint x;"
+    mit = "# Permission is\n# hereby granted, free of charge, to any\n# person obtaining a copy of this\n# software and associated documentation\n# files, to deal\nx = 1"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nx'
+    files = [
+        ("m/LICENSE", mpl, "MPL-2.0"), ("g/a.c", gpl, "GPL-3.0"), ("t/a.py", mit, "MIT"), ("p/a.py", apache, "Apache-2.0"), ("s/a.c", "// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("s/b.c", "/* SPDX-License-Identifier: MPL-2.0 */", "MPL-2.0"), ("s/c.c", "# SPDX-License-Identifier: (GPL-3.0-or-later OR LGPL-2.1)\r\nx", "GPL-3.0"), ("s/d.c", "SPDX-License-Identifier: LGPL-2.1", None),
+        ("s/e.c", "a license\nto thrill\nor not", None),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)] + [(99, "m/b/x.c", "int x;")], "doc_id long, path string, text string")
+    got = {r.id: r for r in licenses.scan(df).collect()}
+    assert [got[i].own_license for i in range(len(files))] == [x for *_, x in files]
+    assert (got[99].license, got[99].inherited_from) == ("MPL-2.0", "m")
