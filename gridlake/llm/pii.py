@@ -33,7 +33,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
 AFTER_CUE = re.compile(r"(?:\s?(?:number|no\.?|id|is))?[\s:=#\"']{1,4}")
-IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{4,63}(?![A-Za-z0-9])")
+IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]|[_.]+(?=[A-Za-z0-9])){4,}(?![A-Za-z0-9])")
 USER_PART = re.compile(r"[^\s/?#@]+@[^\s/?#]+")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 

@@ -335,3 +335,10 @@ def test_empty_tables(spark, empty):
 
 def test_digest_is_of_the_listed_spans():
     assert pii.digest("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_long_and_joined_identifiers():
+    secret = "ab12" * 32
+    for cue, found, rest in (("token: ", secret, " end"), ("secret=", "sk_live_51Habc1234XYZ987", "\nx"), ("Token ", "eyJhbGci1.eyJzdWI2.Sf-lK3_wR4", ". Next"), ("account ", "A-123456", ".")):
+        text = cue + found + rest
+        assert pii.redact(text, pii.find(text, pii.anchors())) == f"{cue}[account]{rest}"
