@@ -48,15 +48,32 @@ def test_awkward_vectors(spark):
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
 
 
-def test_pigeonhole_probing_finds_every_code_in_the_radius():
+def test_pigeonhole_probing_finds_every_code_in_the_radius(spark):
+    """Every row within tables * (reach + 1) - 1 bits of a query is fetched, and nothing beyond the radius is left in."""
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((400, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = ann.Index(ann.fit(x).rotations, 80)
-    codes = index.codes(x)
-    found = ann.block_search(index, np.arange(5), x[:5], np.arange(400), x, 400)
-    near = ann._ONES[codes[:5, None] ^ codes[None]].sum(axis=2) <= 80
-    assert {(q, i) for q, i, _ in found} == {(q, i) for q in range(5) for i in range(400) if near[q, i] and q != i}
+    centers = rng.standard_normal((20, 16))
+    x = np.concatenate([c + rng.standard_normal((20, 16)) * rng.uniform(0.01, 0.6) for c in centers])
+    index = ann.Index(ann.learn(ann._unit(x), len(x)).turns, 9, tables=10, reach=1, radius=60)
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "h long, g long, v array<double>")
+    bits = index.bits(ann._unit(x))
+    apart = (bits[:, None, :90] != bits[None, :, :90]).sum(axis=2)
+    far = (bits[:, None, : ann.BITS] != bits[None, :, : ann.BITS]).sum(axis=2)
+    for verify in (True, False):
+        found = {(r.qh, r.h) for r in ann.fetched(rows, rows.where("h < 40"), index, 16, verify=verify).collect()}
+        certain = {(q, i) for q in range(40) for i in range(400) if apart[q, i] <= index.pigeonhole() and (far[q, i] <= 60 or not verify)}
+        assert len(certain) > 200 and certain <= found
+        assert not verify or all(far[q, i] <= 60 for q, i in found)
+
+
+def test_vectors_that_are_all_one_and_more_than_a_block(spark):
+    """A third of the rows are one vector, and ties go to smaller ids."""
+    same, rng = [1.0, 2.0, 3.0, 4.0], np.random.default_rng(2)
+    rows = [(i, same if i % 3 == 0 else rng.standard_normal(4).tolist()) for i in range(3000)]
+    got = ann.search(vectors := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vectors.where("vec_id in (0, 3, 2997)")).collect()
+    by = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in (0, 3, 2997)}
+    assert by == {0: [3, 6, 9, 12, 15], 3: [0, 6, 9, 12, 15], 2997: [0, 3, 6, 9, 12]}
+    only = spark.createDataFrame([(i, same) for i in range(50)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.search(only, only.where("vec_id = 1")).orderBy("rank").collect()] == [0, 2, 3, 4, 5]
 
 
 def test_template_is_reversible():
