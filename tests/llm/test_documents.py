@@ -267,6 +267,40 @@ def test_packed_ids(spark, frame):
     assert all(len(r.ids) <= 2048 and r.starts[0] == 0 and len(r.starts) == len(r.doc_ids) for r in whole)
 
 
+def test_word_ids_equal_the_tokenizer(monkeypatch):
+    """Also where the table is emptied within a text, a text has several slices, and a combining mark joins lower-case letters only."""
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 4000)
+    monkeypatch.setattr(packing, "SLICE", 50)
+    words, r = packing.WordIds(packing.TOKENIZER), random.Random(5)
+    marks = ["\u0301", "\u030a", "\u030c", "\u0331"]
+    parts = [*"aBHtTWJéİßÅǅж中'.,%-_|<9٣…½ª \n\t\x0b\x1c\xa0\u2003", *marks, "'s", "'S", "<|endoftext|>", "word", "H\u0331.", "😀"]
+    for _ in range(3000):
+        text = "".join(r.choices(parts, k=r.randint(0, 60)))
+        assert words.encode(text.encode()) == array("I", words.tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), ascii(text)
+    assert len(words) <= 4000 // packing.PER_WORD
+
+
+def test_patterns_make_most_sequences():
+    """On lengths like those of documents the rounded fit, not best fit, makes the sequences."""
+    r = np.random.default_rng(1)
+    for n in (1000, 100_000):
+        histogram = Counter(np.clip(r.gamma(1.6, 380, n), 1, 2047).astype(int).tolist())
+        found = packing.plan(histogram)
+        least = -(-sum(k * v for k, v in histogram.items()) // 2048)
+        assert found.sequences <= least * 1.002 + 1 and found.by_patterns > 0.6 * found.sequences
+
+
+@pytest.mark.parametrize("capacity", [1, 5, 17, 300])
+def test_plan_of_small_capacity(capacity):
+    histogram = {n: 1 + n % 4 for n in range(1, capacity + 1, 2)}
+    found = packing.plan(histogram, capacity)
+    filled = Counter()
+    for length, n in histogram.items():
+        for s in found.place(np.full(n, length), np.arange(n))[0].tolist():
+            filled[s] += length
+    assert max(filled.values()) <= capacity and len(filled) == found.sequences <= 1.2 * sum(k * v for k, v in histogram.items()) / capacity + 1
+
+
 @pytest.mark.parametrize("histogram", [{2048: 3}, {1: 5000}, {1025: 7, 1023: 7}, {700: 100, 648: 100, 2000: 5, 40: 9}, {5: 1}])
 def test_plan(histogram):
     found = packing.plan(histogram)
