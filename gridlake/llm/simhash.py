@@ -64,39 +64,37 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return d.mapInArrow(run, f"doc_id {id_type}, fp long, body long")
 
 
-def _segments(fps: DataFrame) -> DataFrame:
-    return fps.select("fp", F.expr("stack(2, 0, shiftrightunsigned(fp, 32), 1, fp & 4294967295L) as (seg, part)"))
+#: First bit and width of the pieces of a 32-bit segment.
+PIECES = ((0, 11), (11, 11), (22, 10))
 
 
-def links(fps: DataFrame, *, bucket: int = 4096) -> DataFrame:
-    """Pairs (a, b) of different fingerprints at ``RADIUS`` or fewer differing bits, from a table of distinct ``fp``."""
-    table = _segments(fps)
-    hot = materialize(table.groupBy("seg", "part").count().where(F.col("count") > bucket).select("seg", "part"), "hot")
-    crowded = not hot.isEmpty()
-    # a bit that is 0 here and 1 there is flipped here only, so each pair is met once in a segment
+def _keyed(segments: DataFrame) -> DataFrame:
+    """A row of (fp, seg, part, other) for each piece of the other segment."""
+    pieces = ", ".join(f"{k}, shiftright(other, {first}) & {(1 << width) - 1}L" for k, (first, width) in enumerate(PIECES))
+    return segments.select("*", F.expr(f"stack({len(PIECES)}, {pieces}) as (nth, piece)")).drop("other")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different fingerprints at ``RADIUS`` or fewer differing bits, from a table of distinct ``fp``; a pair may come more than once."""
+    high, low = "shiftrightunsigned(fp, 32)", "fp & 4294967295L"
+    table = _keyed(fps.select("fp", F.expr(f"stack(2, 0, {high}, {low}, 1, {low}, {high}) as (seg, part, other)")))
+    # a bit that is 0 here and 1 there is flipped here only, so each pair is met once in a segment and piece
     masks = F.expr("filter(transform(sequence(0, 32), i -> if(i = 32, 0L, shiftleft(1L, i))), m -> (part & m) = 0L)")
-    probes = table.select("seg", F.col("fp").alias("a"), "part", F.explode(masks).alias("mask")).select("seg", "a", F.expr("part | mask").alias("part"), (F.col("mask") == 0).alias("same"))
-    entries = table.withColumnRenamed("fp", "b")
-    if crowded:
-        entries = entries.join(hot, ["seg", "part"], "left_anti")
-    pairs = probes.join(entries, ["seg", "part"]).where("bit_count(a ^ b) <= 2 and a <> b and (not same or a < b)").select("a", "b")
-    if crowded:
-        members = table.join(hot, ["seg", "part"], "left_semi").select("fp").distinct()
-        ball = "flatten(transform(sequence(0, 63), i -> transform(sequence(i, 63), j -> if(i = j, shiftleft(1L, i), shiftleft(1L, i) | shiftleft(1L, j)))))"
-        near = members.select(F.col("fp").alias("a"), F.explode(F.expr(ball)).alias("mask")).select("a", F.expr("a ^ mask").alias("b"))
-        pairs = pairs.unionByName(near.join(fps.withColumnRenamed("fp", "b"), "b", "left_semi").select("a", "b"))
-    return pairs
-
-
-def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket: int = 4096, more: DataFrame | None = None) -> DataFrame:
+    probes = table.withColumn("mask", F.explode(masks)).select("seg", F.col("fp").alias("a"), F.expr("part | mask").alias("part"), "nth", "piece", (F.col("mask") == 0).alias("same"))
+    pairs = probes.join(table.withColumnRenamed("fp", "b"), ["seg", "part", "nth", "piece"])
+    return pairs.where(f"bit_count(a ^ b) <= {RADIUS} and a <> b and (not same or a < b)").select("a", "b")
+
+
+def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable), ``body``, ``root``.
 
     Null and empty texts have fingerprint zero and are linked like any other.  Rows that repeat give repeated rows.  A null id
     never is the smallest; a component of null ids only has a null id.  ``root`` tells components apart.  ``more``: further pairs (a, b) of fingerprints to link.
+    Very long texts are fingerprinted whole.  An empty table gives an empty result; further columns of any name are ignored.
     """
     marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     smallest = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = links(smallest.select("fp"), bucket=bucket)
+    linked = links(smallest.select("fp"))
     roots = components(linked if more is None else linked.unionByName(more))
     found = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_root = found.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -105,15 +103,19 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bu
 
 
 def thin(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, and among rows of one id that of the smallest text hash."""
-    marked = group(docs, id_col=id_col, text_col=text_col, more=more)
+    """``docs`` with one row of each component: that of the smallest id, and among rows of one id that of the smallest text hash.
+
+    Null and empty texts are one component.  Rows that repeat in id and text leave one.  An empty table stays empty, and columns of any name are kept.
+    """
+    marked = materialize(group(docs, id_col=id_col, text_col=text_col, more=more).select("doc_id", "body", "root"), "grouped")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
-    chosen = marked.groupBy("root").agg(F.min(first).alias("at"), F.count("*").alias("n")).select(F.col("at.doc_id").alias("_id"), F.col("at.body").alias("_body"), "n")
-    match = F.expr(f"`{id_col}` <=> _id") & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_body"))
-    kept = docs.join(chosen, match, "left_semi")
+    chosen = marked.groupBy("root").agg(F.min(first).alias("at")).select(F.col("at.doc_id").alias("id"), F.col("at.body").alias("body"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("doc_body"))
+    match = F.expr("doc_id <=> id and doc_body = body")
+    kept = held.join(chosen, match, "left_semi")
     # rows that agree in id and text fall into one component; only then can a component keep more than one row
-    twice = marked.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, match, "left_anti")
-    return once.unionByName(kept.join(twice, match, "left_semi").dropDuplicates([id_col, text_col]))
+    twice = marked.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("id"), "body")
+    if not twice.isEmpty():
+        again = kept.join(twice, match, "left_semi").groupBy("doc_id", "doc_body").agg(F.first("doc").alias("doc"))
+        kept = kept.join(twice, match, "left_anti").select("doc").unionByName(again.select("doc"))
+    return kept.select("doc.*")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import WORD, input_columns, materialize, texts
@@ -38,6 +38,8 @@ GRAM = 8
 KNOWN_WORDS = 400_000
 #: Distinct regions that one automaton takes at most.
 SHARD = 16
+#: The columns that name a row.
+ROW = ["row", "row_again"]
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -107,15 +109,14 @@ class Cutter:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cutter = Cutter()
-    names = ["row", "start", "windows", "name", "content", "itself"]
-    empty = [np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, bool)]
+    names = [*ROW, "start", "windows", "name", "content", "itself"]
+    empty = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, bool)]
     for batch in batches:
-        rows = batch.column(0).to_pylist()
         parts = [empty]
-        for row, data in zip(rows, texts(batch)):
+        for row, again, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch)):
             found = cutter.regions(data.split()) if data else None
             if found:
-                parts.append([np.full(len(found[0]), row, dtype=np.int64), *found])
+                parts.append([np.full(len(found[0]), row, dtype=np.int64), np.full(len(found[0]), again, dtype=np.int64), *found])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
 
 
@@ -243,33 +244,33 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs the text (column 1) before it is shuffled."""
+    """Packs the text before it is shuffled."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(x or b"") for x in texts(batch)], pa.binary())], names=["row", "packed"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack.compress(x or b"") for x in texts(batch)], pa.binary())], names=[*ROW, "packed"])
 
 
-def row_key(id_col: str, text_col: str):
-    """Names a row by id and text; rows that agree in both have one result, so they may share a name."""
-    return F.xxhash64(F.lit("row"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """The two columns ``ROW``: a name of 128 bits by id and text; rows that agree in both have one result, so they may share a name."""
+    return [F.xxhash64(F.lit(name), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(name) for name in ROW]
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
-    """(row, spans): for each row (``row_key``) with repeated windows, the word spans [first, last) to remove."""
-    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    regions = materialize(source.mapInArrow(_cut, "row long, start int, windows int, name long, content long, itself boolean"), "regions")
+    """(row, row_again, spans): for each row (``row_key``) with repeated windows, the word spans [first, last) to remove."""
+    source = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    regions = materialize(source.mapInArrow(_cut, "row long, row_again long, start int, windows int, name long, content long, itself boolean"), "regions")
     counted = regions.groupBy("name").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("itself").alias("itself"))
     # sides of later joins are written first: each then has a shuffle of its own, and a name or region with many copies can be split there
     repeated = materialize(counted.where("n > 1 or itself").select("name", F.expr("low <> high or itself").alias("mixed")), "names")
     found = materialize(regions.drop("itself").join(repeated, "name"), "repeated")
 
-    distinct = found.where("mixed").groupBy("name", "content").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "windows")).alias("at"))
+    distinct = found.where("mixed").groupBy("name", "content").agg(F.count("*").alias("times"), F.min(F.struct(*ROW, "start", "windows")).alias("at"))
     distinct = materialize(distinct, "distinct")
     sizes = distinct.groupBy("name").agg(F.count("*").alias("regions"))
-    wanted = distinct.join(sizes, "name").select("at.row", F.struct("name", "content", "times", "regions", "at.start", "at.windows").alias("want")).groupBy("row").agg(F.collect_list("want").alias("wanted"))
+    wanted = distinct.join(sizes, "name").select("at.row", "at.row_again", F.struct("name", "content", "times", "regions", "at.start", "at.windows").alias("want")).groupBy(*ROW).agg(F.collect_list("want").alias("wanted"))
     # rows that agree in id and text share a key: their regions are read from each, and taken once below
-    packed = source.mapInArrow(_pack, "row long, packed binary")
-    content = materialize(packed.join(wanted, "row").select("packed", "wanted").mapInArrow(_fetch, "name long, content long, times long, regions long, words binary"), "content")
+    packed = source.mapInArrow(_pack, "row long, row_again long, packed binary")
+    content = materialize(packed.join(wanted, ROW).select("packed", "wanted").mapInArrow(_fetch, "name long, content long, times long, regions long, words binary"), "content")
 
     small = content.where(F.col("regions") <= shard).select("name", "content", "times", "words").repartition("name").sortWithinPartitions("name")
     spans = small.mapInArrow(_solve, "name long, content long, first int, last int")
@@ -278,9 +279,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = spans.unionByName(crowd.join(twice, "key").select("name", "content", "first", (F.col("first") + WINDOW).alias("last")))
     by_region = materialize(spans.groupBy("name", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts")), "spans")
 
-    whole = found.where("not mixed").select("row", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("last"))).alias("parts"))
-    partly = found.where("mixed").join(by_region, ["name", "content"]).select("row", F.expr("transform(parts, p -> struct(p.first + start as first, p.last + start as last))").alias("parts"))
-    return whole.unionByName(partly).select("row", F.explode("parts").alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
+    whole = found.where("not mixed").select(*ROW, F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("last"))).alias("parts"))
+    partly = found.where("mixed").join(by_region, ["name", "content"]).select(*ROW, F.expr("transform(parts, p -> struct(p.first + start as first, p.last + start as last))").alias("parts"))
+    return whole.unionByName(partly).select(*ROW, F.explode("parts").alias("span")).groupBy(*ROW).agg(F.collect_set("span").alias("spans"))
 
 
 def _gone(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -297,16 +298,17 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     """One row per row of ``docs``: doc_id, n_words, n_removed, ``removed`` (word spans) and ``kept`` (kept words, joined by one space).
 
     A null text has no words and ``kept`` is empty.  Rows that repeat are occurrences of their own: all lose their windows.
-    A text under 35 words loses nothing.
+    A text under 35 words loses nothing.  Very long texts are cut whole, in memory of their own length.  An empty table gives an empty result; further columns of any name are ignored.
     """
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, shard=shard)
-    d = input_columns(docs, doc_id=id_col, text=text_col).withColumn("row", F.xxhash64(F.lit("row"), "doc_id", "text"))
+    d = input_columns(docs, doc_id=id_col, text=text_col)
+    d = d.select("doc_id", *row_key("doc_id", "text"), "text")
     id_type = d.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([packer.compress(x or b"") for x in texts(batch)], pa.binary())], names=["doc_id", "row", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([packer.compress(x or b"") for x in texts(batch)], pa.binary())], names=["doc_id", *ROW, "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -324,7 +326,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(gone_all, kind), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    joined = d.mapInArrow(pack, f"doc_id {id_type}, row long, packed binary").join(spans, "row", "left").select("doc_id", "packed", "spans")
+    joined = d.mapInArrow(pack, f"doc_id {id_type}, row long, row_again long, packed binary").join(spans, ROW, "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, removed array<struct<first int, last int>>, kept string")
 
 
@@ -340,20 +342,24 @@ def cut_text(text: str, gone: list[tuple[int, int]]) -> str:
 
 
 def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, shard: int = SHARD) -> DataFrame:
-    """``docs`` with the repeated spans cut from their texts and ``chars_col`` (if given) set to the new length; no row goes."""
+    """``docs`` with the repeated spans cut from their texts and ``chars_col`` (if given) set to the new length; no row goes.
+
+    Null texts stay null, texts under 35 words stay as they are, rows that repeat all lose their windows.  An empty table stays empty, and columns of any name are kept.
+    """
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, shard=shard)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text_col).alias("row"))
-    joined = held.join(spans, "row", "left").select("doc.*", F.col("spans").alias("_spans"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id_col, text_col))
+    joined = held.join(spans, ROW, "left").select("doc", "spans")
+    at = docs.columns.index(text_col)
+    length_at = docs.columns.index(chars_col) if chars_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, batch = batch.column(batch.num_columns - 1).to_pylist(), batch.select(list(range(batch.num_columns - 1)))
-            at = batch.schema.get_field_index(text_col)
-            new = [cut_text(t, _gone(s)) if s else t for t, s in zip(batch.column(at).to_pylist(), spans)]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-            if chars_col:
-                k = batch.schema.get_field_index(chars_col)
-                batch = batch.set_column(k, batch.schema.field(k), pa.array([None if t is None else len(t) for t in new], batch.schema.field(k).type))
-            yield batch
+            doc = batch.column(0)
+            kinds, columns = [doc.type.field(k) for k in range(doc.type.num_fields)], doc.flatten()
+            new = [cut_text(t, _gone(s)) if s else t for t, s in zip(columns[at].to_pylist(), batch.column(1).to_pylist())]
+            columns[at] = pa.array(new, kinds[at].type)
+            if length_at is not None:
+                columns[length_at] = pa.array([None if t is None else len(t) for t in new], kinds[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[k.name for k in kinds])
 
     return joined.mapInArrow(run, docs.schema)

@@ -208,16 +208,40 @@ def test_suffix_automaton_matching_statistics():
 
 
 @pytest.mark.parametrize("name", ["awkward", "driver"])
-@pytest.mark.parametrize("bucket", [1, 4096])
-def test_simhash(spark, frame, small, name, bucket):
+def test_simhash(spark, frame, small, name):
     df = both(name, frame, small)
     rows = pairs(df)
     fps = [brute.simhash(t) for _, t in rows]
     expected = [(i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, brute.groups([i for i, _ in rows], fps))]
-    got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.group(df, bucket=bucket).collect()]
+    got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.group(df).collect()]
     assert sorted_rows(got) == sorted_rows(expected)
 
 
+def test_links_where_many_fingerprints_share_a_segment(spark):
+    """One segment for all, the other one dense, so that its pieces decide; against all pairs."""
+    r = random.Random(4)
+    low = [sum(1 << b for b in r.sample(range(32), 3)) for _ in range(60)]
+    fps = {x | (7 << 32) for x in low} | {(x ^ (1 << r.randrange(32))) | (7 << 32) for x in low} | {(x << 32) | 5 for x in low} | {x | (r.choice([6, 3, 7 ^ 1 << 31]) << 32) for x in low}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    got = {frozenset((p.a, p.b)) for p in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    mask = (1 << 64) - 1
+    assert got == {frozenset((a, b)) for a in signed for b in signed if a < b and bin((a ^ b) & mask).count("1") <= 2} and len(got) > 60
+
+
+def test_clashing_columns_stay(spark, awkward):
+    """Columns with the names that stages use themselves."""
+    names = ["_id", "_body", "_spans", "doc", "id", "body", "row", "row_again", "spans", "at", "root", "ids"]
+    rows = [(i, t, *[f"{k}{n}" for n in names]) for k, (i, t) in enumerate(awkward)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    plain = docs.select("doc_id", "text")
+    for stage in (simhash.thin, substring.strip, pii.scrub):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        held = {tuple(r[2:]) for r in out.collect()}
+        assert held <= {tuple(r[2:]) for r in rows} and len(held) == out.count()
+        assert sorted_rows(pairs(out)) == sorted_rows(pairs(stage(plain)))
+
+
 def test_components_of_a_long_chain(spark):
     from gridlake.llm.graph import components
 
