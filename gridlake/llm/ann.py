@@ -107,13 +107,14 @@ def choose(index: Index, asked: np.ndarray, near: np.ndarray, rows: int) -> Inde
 
 
 def usable(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): rows with an id and a vector of finite numbers that isn't zero, as doubles."""
-    v = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    return v.where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    """(id, v): rows with an id and a vector of finite numbers that isn't zero, as floats if they are, else as doubles."""
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    v = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast(kind if kind == "array<float>" else "array<double>").alias("v"))
+    return v.where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(double(x)) = double('infinity')) and exists(v, x -> x <> 0)")
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -146,7 +147,7 @@ def _neighbours(rows: DataFrame, asked: np.ndarray, k: int) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cosine[at, best.ravel()]), batch.column(0).take(pa.array(best.ravel()))], names=["a", "cosine", "v"])
 
     order = Window.partitionBy("a").orderBy(F.desc("cosine"), "v")
-    near = rows.select("v").mapInArrow(run, "a long, cosine double, v array<double>").where("cosine > -2").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("a", "v").collect()  # at most TRIED * k
+    near = rows.select("v").mapInArrow(run, f"a long, cosine double, v {rows.schema['v'].dataType.simpleString()}").where("cosine > -2").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("a", "v").collect()  # at most TRIED * k
     return asked[[r.a for r in near]], _unit(np.array([r.v for r in near]).reshape(-1, d))
 
 

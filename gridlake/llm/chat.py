@@ -100,7 +100,10 @@ def reply_paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
 
 
 def conversations(paths: DataFrame) -> DataFrame:
-    """One row per path: tree, branch, ``formatted`` and ``loss`` (spans the loss covers).  One conversation's turns meet in one row, as its format asks."""
+    """One row per path: tree, branch, ``formatted`` and ``loss`` (spans the loss covers).  One conversation's turns meet in one row, as its format asks.
+
+    Null roles and texts are empty; a null tree is one tree.  Very long texts are formatted whole.  An empty table gives an empty result; further columns are ignored.
+    """
     turns = F.sort_array(F.collect_list(F.struct("place", "role", "text")))
     grouped = paths.groupBy("tree", "branch").agg(turns.alias("turns"))
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -117,7 +120,8 @@ def conversations(paths: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """(tree, branch, n_turns, turns, loss_text, formatted_chars) read from the formatted conversations.
 
-    ``turns`` is role, line feed, text, line feed for each turn; ``loss_text`` all text the loss covers, in order, with nothing between.
+    ``turns`` is role, line feed, text, line feed for each turn; ``loss_text`` all text the loss covers, in order, with nothing between.  Repeated rows give
+    repeated results, an empty table an empty one.
     """
     tree_type = formatted.schema["tree"].dataType.simpleString()
 
@@ -135,7 +139,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def from_turns(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Messages of linear conversations: each turn replies to the one before it.  Turns that tie go by role, then text; repeated rows are turns of their own."""
+    """Messages of linear conversations: each turn replies to the one before it.  Turns that tie go by role, then text; repeated rows are turns of their own.
+
+    Null turns come first, a null id is one conversation, null roles and texts stay null.  An empty table gives an empty result; further columns are ignored.
+    """
     c = rows.select(F.col(f"`{id_col}`").alias("tree"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     return c.withColumn("node", F.row_number().over(order).cast("long")).select("tree", "node", F.expr("if(node > 1, node - 1, null)").alias("parent"), "role", "text", F.lit(0.0).alias("score"))

@@ -63,7 +63,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted(lang: str) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
-        sizes[lang] = 0
+        del sizes[lang]
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     for batch in batches:
@@ -71,8 +71,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = grams(text)
             waiting[lang].append(found)
             sizes[lang] += len(found)
-            if sizes[lang] > TOGETHER:
-                yield counted(lang)
+            if sum(sizes.values()) > TOGETHER:  # however many languages there are
+                yield counted(max(sizes, key=sizes.__getitem__))
     for lang in list(waiting):
         yield counted(lang)
 
@@ -116,6 +116,7 @@ class Ranker:
 def identify(docs: DataFrame, learned: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``lang_pred``, ``score`` (0 to 1).  ``und`` and 0 for a null text, one without letters, or without profiles.
 
+    Rows that repeat give repeated results, very long texts count whole, an empty table gives an empty result, and further columns are ignored.
     ``learned`` is the result of ``profiles``; it comes to the driver, languages x ``size`` rows.
     """
     d = input_columns(docs, doc_id=id_col, text=text_col)

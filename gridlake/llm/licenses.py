@@ -108,7 +108,8 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
 
     ``license`` is the own one, else that of the licence file (by name) in the nearest directory at or above the file's;
     several licence files in a directory: the highest score, then the first name.  ``inherited_from`` is that directory (``""`` is the top).  A null text has no own license,
-    a null path has no directory and inherits nothing.
+    a null path has no directory and inherits nothing.  Licenses that tie in a text: the last by name.  Repeated rows give repeated results, very long texts are
+    scanned whole, an empty table gives an empty result, and further columns of any name are ignored.
     """
     f = files.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("text"))
     lines = F.concat(F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)), runs(F.col("text")))

@@ -136,14 +136,15 @@ def redact(text: str | None, spans: dict[str, list[tuple[int, int]]]) -> str | N
     return "".join([*out, text[at:]])
 
 
-def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: counts of each kind, ``base_spans`` and ``spans`` as kind:start:end, and ``redacted``.
+def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redacted: bool = True) -> DataFrame:
+    """One row per row of ``docs``: counts of each kind, ``base_spans`` and ``spans`` as kind:start:end, and, if asked for, ``redacted``.
 
-    A null text counts as empty: no spans, and ``redacted`` is null.  Repeated rows give repeated results.
+    A null text counts as empty: no spans, and ``redacted`` is null.  Repeated rows give repeated results.  Very long texts are searched whole.  An empty table
+    gives an empty result; further columns of any name are ignored.
     """
     d = input_columns(docs, doc_id=id_col, text=text_col)
     id_type = d.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", "redacted"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", *["redacted"] * redacted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
@@ -151,15 +152,18 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             rows = []
             for text in batch.column(1).to_pylist():
                 spans = find(text, automaton)
-                rows.append((*(len(spans[k]) for k in KINDS), listed(spans, BASE), listed(spans, KINDS), redact(text, spans)))
-            cols = list(zip(*rows)) or [()] * (len(KINDS) + 3)
+                rows.append((*(len(spans[k]) for k in KINDS), listed(spans, BASE), listed(spans, KINDS), *([redact(text, spans)] if redacted else [])))
+            cols = list(zip(*rows)) or [()] * (len(KINDS) + 2 + redacted)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[: len(KINDS)]), *(pa.array(c, pa.string()) for c in cols[len(KINDS) :])], names=names)
 
-    return d.mapInArrow(run, f"doc_id {id_type}, {', '.join(f'n_{k} long' for k in KINDS)}, base_spans string, spans string, redacted string")
+    return d.mapInArrow(run, f"doc_id {id_type}, {', '.join(f'n_{k} long' for k in KINDS)}, base_spans string, spans string{', redacted string' * redacted}")
 
 
 def scrub(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced, and ``chars_col`` (if given) set to the new length."""
+    """``docs`` with every span in ``text_col`` replaced, and ``chars_col`` (if given) set to the new length.
+
+    Null and empty texts stay as they are, rows that repeat stay, very long texts are searched whole.  An empty table stays empty, and columns of any name are kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()

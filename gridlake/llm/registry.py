@@ -42,7 +42,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.detect(table(spark, sf_dir, "documents"))
+    found = pii.detect(table(spark, sf_dir, "documents"), redacted=False)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_account", "n_url")
 
 
