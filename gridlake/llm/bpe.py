@@ -58,6 +58,7 @@ class Transducer:
                 node = after
             self.token[node] = token
         self.whole: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.forget()
 
@@ -68,15 +69,46 @@ class Transducer:
         self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
 
     def merged(self, data: bytes) -> list[int]:
-        """Merge by rank, lowest first, leftmost first.  Only run on one or two tokens' bytes, to fill the tables."""
+        """Merge by rank, lowest first, leftmost first.  Only run on one token's bytes, to fill the tables."""
+        return self._merge(data, 1)
+
+    def _merge(self, data: bytes, until: int) -> list[int]:
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
             if rank == 1 << 30:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes a token; a single byte is its own halves."""
+        found = self.halves.get(token)
+        if found is None:
+            data = self.bytes[token]
+            found = self.halves[token] = (token, token) if len(data) == 1 else tuple(self._merge(data, 2))
+        return found
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of two tokens gives these two tokens again.
+
+        Going back through their merges, latest first, no two parts that touch at the border may have a merge that comes before the next one undone.
+        """
+        ranks, data, undone = self.ranks, self.bytes, 1 << 30
+        while True:
+            joint = ranks.get(data[left] + data[right])
+            if joint is not None and joint < undone:
+                return False
+            inner_left = (self.halves.get(left) or self._halves(left))[1]
+            inner_right = (self.halves.get(right) or self._halves(right))[0]
+            if inner_left == left and inner_right == right:
+                return True
+            # of equal rank the left one is merged first, so the right one is undone first
+            if inner_right == right or (left > right and inner_left != left):
+                undone, left = left, inner_left
+            else:
+                undone, right = right + 1, inner_right
+
     def allowed(self, last: int, token: int) -> bool:
         ok = self.whole.get(token)
         if ok is None:
@@ -87,7 +119,7 @@ class Transducer:
         if ok is None:
             if len(self.pairs) >= 4 * self.limit:
                 self.pairs.clear()
-            ok = self.pairs[last, token] = self.merged(self.bytes[last] + self.bytes[token]) == [last, token]
+            ok = self.pairs[last, token] = self._stay_apart(last, token)
         return ok
 
     def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
@@ -110,9 +142,14 @@ class Transducer:
         key = tuple(sorted((waiting[len(common) :], last, node) for waiting, last, node in new))
         number = self.numbers.get(key)
         if number is None:
+            full = len(self.states) >= self.limit
+            if full:
+                self.forget()
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
+            if full:  # the state that this move starts from is forgotten
+                return common, number
         self.moves[state][byte] = found = (common, number)
         return found
 
@@ -121,8 +158,6 @@ class Transducer:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        if len(self.states) >= self.limit:
-            self.forget()
         out: list[int] = []
         state = 0
         for byte in piece:
@@ -220,7 +255,8 @@ def _tables(path: str, pattern: str) -> tuple[regex.Pattern, Pieces, Utf8Stream]
 def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and, if asked for, ``decoded``, the text read back from the ids.
 
-    A null or empty text has no tokens and decodes to an empty text.  Special tokens aren't used.
+    A null or empty text has no tokens and decodes to an empty text.  Special tokens aren't used.  Rows that repeat give repeated results.  A very long
+    text is encoded whole; the tables stay within their limits.  An empty table gives an empty result; further columns of any name are ignored.
     """
     d = input_columns(docs, doc_id=id_col, text=text_col)
     id_type = d.schema["doc_id"].dataType.simpleString()
