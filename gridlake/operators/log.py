@@ -45,6 +45,21 @@ def _last(column: Column) -> Col:
     return F.max(F.when(named(column), F.struct(F.col("rev").alias("r"), F.col(f"`{column.name}`").alias("v"))))
 
 
+def _lasts(columns) -> list[Col]:
+    """``_last`` of all columns as two aggregates each, revision and value: fixed-width values then stay in a hash aggregate, which a struct doesn't."""
+    out = []
+    for c in columns:
+        at = F.when(named(c), F.col("rev"))
+        out += [F.max(at).alias(f"_r{c.id}"), F.max_by(F.col(f"`{c.name}`"), at).alias(f"_v{c.id}")]
+    return out
+
+
+def _paired(found: DataFrame, columns) -> DataFrame:
+    """The aggregates of ``_lasts`` as (rev, value)."""
+    pairs = {f"_l{c.id}": F.when(F.col(f"_r{c.id}").isNotNull(), F.struct(F.col(f"_r{c.id}").alias("r"), F.col(f"_v{c.id}").alias("v"))) for c in columns}
+    return found.withColumns(pairs).drop(*[f"_{k}{c.id}" for c in columns for k in "rv"]) if pairs else found
+
+
 def _state(schema: Schema, deleted: Col) -> list[Col]:
     """Column values from ``_last`` results: those set since the last delete, else the initial value."""
     since = F.coalesce(deleted, F.lit(-1).cast("long"))
@@ -58,8 +73,9 @@ def fold(log: DataFrame, schema: Schema, geometry: Geometry, *, upto: int | None
     found = log.groupBy(*geometry.blocks).agg(
         F.max(F.when(F.col("op") == "D", F.col("rev"))).alias("_deleted"),
         F.max(F.when(F.col("op") == "S", F.col("rev"))).alias("_set"),
-        *[_last(c).alias(f"_l{c.id}") for c in schema.columns],
+        *_lasts(schema.columns),
     )
+    found = _paired(found, schema.columns)
     there = found.where(F.col("_set") > F.coalesce("_deleted", F.lit(-1)))
     return there.select(*geometry.blocks, *_state(schema, F.col("_deleted")), F.col("_set").alias("rev"))
 
@@ -71,8 +87,9 @@ def history(log: DataFrame, schema: Schema, geometry: Geometry, *, span: int = S
     per = log.groupBy(*keys, "_range").agg(
         F.max(F.when(F.col("op") == "D", F.col("rev"))).alias("_deleted"),
         F.max(F.when(F.col("op") == "S", F.col("rev"))).alias("_set"),
-        *[_last(c).alias(f"_l{c.id}") for c in columns],
+        *_lasts(columns),
     )
+    per = _paired(per, columns)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = per.select(*keys, "_range", *[F.max(c).over(earlier).alias(c) for c in ("_deleted", "_set", *[f"_l{c.id}" for c in columns])])
     carried = carried.where(F.col("_set") > F.coalesce("_deleted", F.lit(-1)))
@@ -99,9 +116,9 @@ def meta_state(meta: DataFrame, schema: Schema, geometry: Geometry, *, upto: int
     if upto is not None:
         meta = meta.where(F.col("rev") <= upto)
     meta = meta.withColumn("op", F.lit("S"))
-    found = meta.groupBy(*geometry.chunks).agg(F.max("rev").alias("rev"), F.max(F.struct("rev", "commit_time_ms")).alias("_at"), *[_last(c).alias(f"_l{c.id}") for c in schema.chunk_columns])
-    values = [F.when(F.col(f"_l{c.id}").isNotNull(), F.col(f"_l{c.id}.v")).otherwise(c.initial_col()).alias(c.name) for c in schema.chunk_columns]
-    rows = found.select(*geometry.chunks, "rev", F.col("_at.commit_time_ms").alias("commit_time_ms"), *values)
+    found = meta.groupBy(*geometry.chunks).agg(F.max("rev").alias("_rev"), F.max_by("commit_time_ms", "rev").alias("_time"), *_lasts(schema.chunk_columns))
+    values = [F.when(F.col(f"_r{c.id}").isNotNull(), F.col(f"_v{c.id}")).otherwise(c.initial_col()).alias(c.name) for c in schema.chunk_columns]
+    rows = found.select(*geometry.chunks, F.col("_rev").alias("rev"), F.col("_time").alias("commit_time_ms"), *values)
     baseline = F.lit(True)
     for c in schema.chunk_columns:
         baseline = baseline & same(F.col(c.name), c.initial_col(), c)
@@ -118,12 +135,13 @@ def identities(log: DataFrame, schema: Schema, geometry: Geometry, *, meta: Data
         log = log.where(F.col("rev") <= upto)
     done = geometry.addressed(history(log, schema, geometry, span=span).where("effective").select("rev", "commit_time_ms", *geometry.blocks, "before", "after"))
     change = F.when(F.col("before").isNull(), 1).when(F.col("after").isNull(), -1).otherwise(0).cast("long")
-    found = done.groupBy(*geometry.chunks).agg(F.max(F.struct("rev", "commit_time_ms")).alias("at"), F.sum(change).alias("blocks"))
+    found = done.groupBy(*geometry.chunks).agg(F.max("rev").alias("version"), F.max_by("commit_time_ms", "rev").alias("commit_time_ms"), F.sum(change).alias("blocks"))
     found = found.withColumn("differs", F.lit(False))
     if meta is not None:
-        m = meta_state(meta, schema, geometry, upto=upto).select(*geometry.chunks, F.struct("rev", "commit_time_ms").alias("at"), F.lit(0).cast("long").alias("blocks"), "differs")
-        found = found.unionByName(m).groupBy(*geometry.chunks).agg(F.max("at").alias("at"), F.sum("blocks").alias("blocks"), F.max("differs").alias("differs"))
-    rows = found.select(*geometry.chunks, F.col("at.rev").alias("version"), F.col("at.commit_time_ms").alias("commit_time_ms"), "blocks", ((F.col("blocks") > 0) | F.col("differs")).alias("populated"))
+        m = meta_state(meta, schema, geometry, upto=upto).select(*geometry.chunks, F.col("rev").alias("version"), "commit_time_ms", F.lit(0).cast("long").alias("blocks"), "differs")
+        both = found.unionByName(m).groupBy(*geometry.chunks)
+        found = both.agg(F.max("version").alias("version"), F.max_by("commit_time_ms", "version").alias("commit_time_ms"), F.sum("blocks").alias("blocks"), F.max("differs").alias("differs"))
+    rows = found.select(*geometry.chunks, "version", "commit_time_ms", "blocks", ((F.col("blocks") > 0) | F.col("differs")).alias("populated"))
     return rows.where(F.col("populated") | (F.col("version") > floor)) if floor else rows
 
 
@@ -182,10 +200,10 @@ def merge_chunks(blocks: DataFrame, form: DataFrame, written: DataFrame, schema:
     return kept.unionByName(rows)
 
 
-def var_bytes(blocks: DataFrame, schema: Schema, geometry: Geometry) -> DataFrame:
+def var_bytes(blocks: DataFrame, schema: Schema, geometry: Geometry, columns: list[Column] | None = None) -> DataFrame:
     """Bytes of text and bytes values per chunk: 12 and the length for each value that isn't null."""
     size = F.lit(0).cast("long")
-    for c in schema.columns:
+    for c in columns or schema.columns:
         if c.type.kind in ("text", "bytes"):
             size = size + F.when(F.col(c.name).isNull(), 0).otherwise(F.octet_length(F.col(c.name)) + 12)
     return geometry.addressed(blocks).groupBy(*geometry.chunks).agg(F.sum(size).cast("long").alias("var_bytes"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.plans import grid_queries, more_queries, value_queries
+from gridlake.plans import grid_queries, more_queries, stored_queries, value_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (grid_queries, value_queries, more_queries)
+MODULES = (grid_queries, value_queries, more_queries, stored_queries)
 
 
 def queries() -> dict[str, Query]:

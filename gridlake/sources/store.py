@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
@@ -25,6 +26,8 @@ from gridlake.sources import rights
 from gridlake.streaming import feed
 
 MAX_READ_CHUNKS, MAX_WRITTEN_CHUNKS = 8192, 1024
+#: How long a transaction may stay open.
+MAX_SECONDS = 300.0
 VAR_MAX_CHUNK_BYTES = 1 << 20
 OPTIONS = {"var_max_chunk_bytes": VAR_MAX_CHUNK_BYTES, "feed_buffer_bytes": 64 << 20, "slot_max_bytes": 1 << 30}
 
@@ -198,22 +201,30 @@ class Table:
         """All block writes, in the current schema; a scan on ``lx``, ``ly`` is pruned."""
         return self._rows("block")
 
-    def blocks(self, upto: int | None = None, area: areas.Area | None = None) -> DataFrame:
-        m = self.manifest
-        rows = self._rows("block", m)
+    @staticmethod
+    def _within(rows: DataFrame, m: Manifest, area: areas.Area | None, only: DataFrame | None, first: int | None = None) -> DataFrame:
+        """Rows of an area, of the chunks that ``only`` holds, and of those from a first coordinate on; all name the partition columns."""
+        if first is not None:
+            rows = rows.where(f"{m.geometry.larges[0]} >= {first // m.geometry.large[0]} and {m.geometry.chunks[0]} >= {first}")
         if area is not None:
             rows = areas.select(rows, area, m.geometry)
-        return wl.fold(rows, m.schema, m.geometry, upto=upto)
+        if only is not None:
+            wanted = m.geometry.sharded(only.select(*m.geometry.chunks).distinct())
+            rows = rows.join(wanted, [*m.geometry.larges, *m.geometry.chunks], "left_semi")
+        return rows
+
+    def blocks(self, upto: int | None = None, area: areas.Area | None = None, *, only: DataFrame | None = None, manifest: Manifest | None = None) -> DataFrame:
+        """Present blocks, of the table or of a manifest that was read before."""
+        m = manifest or self.manifest
+        return wl.fold(self._within(self._rows("block", m), m, area, only), m.schema, m.geometry, upto=upto)
 
     def meta(self, upto: int | None = None) -> DataFrame:
         m = self.manifest
         return wl.meta_state(self._rows("chunk", m), m.schema, m.geometry, upto=upto)
 
-    def identities(self, upto: int | None = None, area: areas.Area | None = None) -> DataFrame:
-        m = self.manifest
-        rows, meta = self._rows("block", m), self._rows("chunk", m)
-        if area is not None:
-            rows, meta = areas.select(rows, area, m.geometry), areas.select(meta, area, m.geometry)
+    def identities(self, upto: int | None = None, area: areas.Area | None = None, *, only: DataFrame | None = None, manifest: Manifest | None = None, first: int | None = None) -> DataFrame:
+        m = manifest or self.manifest
+        rows, meta = (self._within(self._rows(domain, m), m, area, only, first) for domain in ("block", "chunk"))
         return wl.identities(rows.drop(*m.geometry.chunks, *m.geometry.larges), m.schema, m.geometry, meta=meta, upto=upto, floor=m.floor)
 
     def area(self, area: areas.Area, columns: list[str] | None = None, *, limit: int | None = None, after: tuple[int, ...] | None = None) -> areas.Page | DataFrame:
@@ -221,19 +232,20 @@ class Table:
         m = self.manifest
         if limit is None and after is None:
             areas.admit(area)
-        cells = wl.chunk_forms(self.blocks(area=area), m.schema, m.geometry, columns)
-        chunks = self.identities(area=area).where("populated").join(cells, m.geometry.chunks, "left")
+        cells = wl.chunk_forms(self.blocks(area=area, manifest=m), m.schema, m.geometry, columns)
+        chunks = self.identities(area=area, manifest=m).where("populated").join(cells, m.geometry.chunks, "left")
         if limit is None and after is None:
             return chunks.orderBy(*m.geometry.chunks)
         return areas.page(chunks, area, m.geometry, limit=limit or areas.MAX_AREA_CHUNKS, after=after)
 
-    def scan(self, **options) -> DataFrame:
-        m = self.manifest
-        return wl.scan(self.identities(), m.geometry, floor=m.floor, **options)
+    def scan(self, *, manifest: Manifest | None = None, **options) -> DataFrame:
+        m = manifest or self.manifest
+        first = options["after"][0] if options.get("after") else None  # a page reads nothing before its start
+        return wl.scan(self.identities(manifest=m, first=first), m.geometry, floor=m.floor, **options)
 
     def stats(self) -> dict:
         m = self.manifest
-        row = wl.stats(self.identities(), m.geometry, m.floor).first()
+        row = wl.stats(self.identities(manifest=m), m.geometry, m.floor).first()
         return {"epoch": m.epoch, "revision": m.revision, "dims": m.geometry.dims, "tombstones": row["tombstones"] or 0, "retained_deletion_floor": m.floor}
 
     def describe(self) -> dict:
@@ -276,25 +288,28 @@ class Table:
     def write(self, rows: DataFrame, *, user: str = "", domain: str = "block", expect: int | None = None) -> int:
         """Commit rows as one revision: block coordinates, columns, and optionally ``op`` ('S' or 'D') and ``names``.
 
-        ``expect`` is the revision that must still be the last.  A batch may write a block once.  Returns the revision.
+        ``expect`` is the revision that must still be the last.  A batch may write a block once.  Returns the revision; a batch that changes
+        nothing takes none and returns the last one.
         """
         m = self.manifest
+        if expect is not None and m.revision != expect:
+            raise GridError("CONFLICT", "another writer was first")
         geometry, schema = m.geometry, m.schema
-        keys = geometry.blocks if domain == "block" else geometry.chunks
         checked = self._checked(rows, schema, geometry, domain)
         address = geometry.addressed(checked) if domain == "block" else checked
         name = f"data/segment={uuid.uuid4().hex}"
         target = f"{self.store.files.root}/{self.folder}/{name}"
         stamped = geometry.sharded(address).withColumns({"user": F.lit(user), "rev": F.lit(0).cast("long"), "commit_time_ms": F.lit(0).cast("long")})
-        if not stamped.groupBy(*keys).count().where("count > 1").limit(1).isEmpty():
-            raise invalid("a batch writes a block twice")
+        if not self._effect(checked, m, domain):
+            return m.revision
         if domain == "block":
-            self._require(checked, m)
+            self._within_bytes(checked, m)
         revision = m.revision + 1
         now = max(int(time.time() * 1000), m.time_ms)
         # rows carry their revision; a writer that comes second writes them again under the next one
         stamped = stamped.withColumns({"rev": F.lit(revision).cast("long"), "commit_time_ms": F.lit(now).cast("long")})
-        stamped.write.partitionBy(*geometry.larges).parquet(target)
+        # a large chunk's rows go to one file, or to several where they are many
+        stamped.hint("rebalance", *[F.col(x) for x in geometry.larges]).write.partitionBy(*geometry.larges).parquet(target)
         segment = {"path": name, "domain": domain, "schema_version": schema.version, "rev": revision}
         number, last = self.chain.last()
         new = replace(m, revision=revision, time_ms=now, segments=(*m.segments, segment))
@@ -305,31 +320,77 @@ class Table:
             return self.write(rows, user=user, domain=domain)
         return revision
 
-    def _require(self, checked: DataFrame, m: Manifest) -> None:
-        """A new block must be given its REQUIRED columns that have no default."""
-        needed = [c for c in m.schema.columns if c.required and not c.has_default]
-        for c in needed:
-            short = checked.where((F.col("op") == "S") & ~wl.named(c))
-            if m.segments:
-                short = short.join(self.blocks().select(*m.geometry.blocks), m.geometry.blocks, "left_anti")
-            if not short.limit(1).isEmpty():
-                raise invalid(f"column {c.name} is required")
+    def _effect(self, checked: DataFrame, m: Manifest, domain: str) -> bool:
+        """Whether rows change anything, found from the log of their own blocks (or chunks) alone.
 
-    def replace_chunks(self, form: DataFrame, chunks: DataFrame, columns: list[str] | None = None, *, if_absent: bool = False, user: str = "") -> int:
-        """Write whole chunks: blocks of ``chunks`` that ``form`` doesn't hold go, the others are set (or have ``columns`` set)."""
-        m = self.manifest
+        A new block, or a chunk's first metadata, must be given its REQUIRED columns that have no default.
+        """
+        geometry, part = m.geometry, m.schema.part(domain)
+        keys = geometry.blocks if domain == "block" else geometry.chunks
+        wanted = geometry.sharded(geometry.addressed(checked) if domain == "block" else checked).select(*geometry.larges, *keys)
+        log = self._rows(domain, m).join(wanted, [*geometry.larges, *keys], "left_semi")
+        state = (wl.fold if domain == "block" else wl.meta_state)(log, m.schema, geometry)
+        joined = checked.join(state.select(*keys, F.struct(F.lit(True).alias("_here"), *[f"`{c.name}`" for c in part]).alias("_now")), keys, "left")
+        new, sets, differs = F.col("_now").isNull(), F.col("op") == "S", F.lit(False)
+        for c in part:
+            differs = differs | (wl.named(c) & ~wl.same(F.col(f"`{c.name}`"), F.col(f"_now.`{c.name}`"), c))
+        needed = [c for c in part if c.required and not c.has_default]
+        short = [F.max(sets & new & ~wl.named(c)).alias(f"short{k}") for k, c in enumerate(needed)]
+        row = joined.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*keys).alias("keys"), F.max(F.when(sets, new | differs).otherwise(~new)).alias("effect"), *short).first()
+        if row.rows != row.keys:
+            raise invalid("a batch writes a block twice")
+        for k, c in enumerate(needed):
+            if row[f"short{k}"]:
+                raise invalid(f"column {c.name} is required")
+        return bool(row.effect)
+
+    def _within_bytes(self, checked: DataFrame, m: Manifest) -> None:
+        """The written chunks' texts and bytes must stay within the table's budget; a chunk that was over it may shrink."""
+        part = [c for c in m.schema.columns if c.type.kind in ("text", "bytes")]
+        if not part:
+            return
+        geometry, most = m.geometry, (OPTIONS | m.options)["var_max_chunk_bytes"]
+        touched = geometry.addressed(checked).select(*geometry.chunks).distinct()
+        before = self.blocks(only=touched, manifest=m).select(*geometry.blocks, *[c.name for c in m.schema.columns])
+        old = before.select(*geometry.blocks, F.struct(F.lit(True).alias("_here"), *[f"`{c.name}`" for c in part]).alias("_old"))
+        joined = old.join(checked, geometry.blocks, "full").where("op is null or op = 'S'")
+        kept = [F.when(wl.named(c), F.col(f"`{c.name}`")).when(F.col("_old").isNotNull(), F.col(f"_old.`{c.name}`")).otherwise(c.initial_col()).alias(c.name) for c in part]
+        after = wl.var_bytes(joined.select(*geometry.blocks, *kept), m.schema, geometry, part)
+        was = wl.var_bytes(before, m.schema, geometry, part).withColumnRenamed("var_bytes", "was")
+        over = after.where(F.col("var_bytes") > most).join(was, geometry.chunks, "left").where("was is null or var_bytes > was").first()
+        if over:
+            raise GridError("OUT_OF_RANGE", f"chunk ({', '.join(str(over[c]) for c in geometry.chunks)}) would hold {over.var_bytes} bytes of {most}")
+
+    def chunk_writes(self, form: DataFrame, chunks: DataFrame, here: DataFrame, m: Manifest, columns: list[str] | None = None) -> DataFrame:
+        """The writes that make ``chunks``, of which ``here`` holds the present blocks, into what ``form`` holds."""
         geometry = m.geometry
-        if if_absent and wl.absent_only(chunks, self.identities(), geometry).count() < chunks.count():
-            raise GridError("VERSION_MISMATCH", "the chunk is populated")
+        if not geometry.addressed(form.select(*geometry.blocks)).join(chunks, geometry.chunks, "left_anti").limit(1).isEmpty():
+            raise invalid("the form has blocks of another chunk")
         names = columns or [c.name for c in m.schema.columns]
-        here = geometry.addressed(self.blocks()).join(chunks, geometry.chunks, "left_semi")
         gone = here.join(form.select(*geometry.blocks), geometry.blocks, "left_anti").select(*geometry.blocks, F.lit("D").alias("op"), *[F.lit(None).cast(m.schema.column(n).type.spark).alias(n) for n in names])
-        set_rows = form.select(*geometry.blocks, F.lit("S").alias("op"), *names)
-        return self.write(set_rows.unionByName(gone), user=user)
+        return form.select(*geometry.blocks, F.lit("S").alias("op"), *names).unionByName(gone)
+
+    def replace_chunks(self, form: DataFrame, chunks: DataFrame, columns: list[str] | None = None, *, if_absent: bool = False, expect: int | None = None, user: str = "") -> int:
+        """Write whole chunks: blocks of ``chunks`` that ``form`` doesn't hold go, the others are set (or have ``columns`` set).
 
-    def write_meta(self, rows: DataFrame, *, user: str = "") -> int:
+        The check and the write are one step: if another writer comes between, both are done again, or CONFLICT is raised if ``expect`` is given.
+        """
+        while True:
+            m = self.manifest
+            if expect is not None and m.revision != expect:
+                raise GridError("CONFLICT", "another writer was first")
+            if if_absent and wl.absent_only(chunks, self.identities(only=chunks, manifest=m), m.geometry).count() < chunks.count():
+                raise GridError("VERSION_MISMATCH", "the chunk is populated")
+            rows = self.chunk_writes(form, chunks, self.blocks(only=chunks, manifest=m), m, columns)
+            try:
+                return self.write(rows, user=user, expect=m.revision)
+            except GridError as error:
+                if error.code != "CONFLICT" or expect is not None:
+                    raise
+
+    def write_meta(self, rows: DataFrame, *, user: str = "", expect: int | None = None) -> int:
         """Metadata of chunks: chunk coordinates and the columns to set; others keep their values."""
-        return self.write(rows, user=user, domain="chunk")
+        return self.write(rows, user=user, domain="chunk", expect=expect)
 
     def merge_segments(self, least: int = 2) -> int:
         """Write segments of one domain and schema version as one, history and all; returns how many were merged.
@@ -424,33 +485,101 @@ class Table:
 class Transaction:
     """A snapshot of one table with private writes over it; commits if no chunk it read or wrote has changed."""
 
-    def __init__(self, table: Table, user: str = "") -> None:
+    def __init__(self, table: Table, user: str = "", *, seconds: float = MAX_SECONDS) -> None:
         self.table, self.user = table, user
-        self.start = table.manifest
+        self.start, self.ends = table.manifest, time.monotonic() + seconds
         self.private: DataFrame | None = None
-        self.read: DataFrame | None = None
+        self.read: set[tuple[int, ...]] = set()
 
-    def _touch(self, chunks: DataFrame) -> None:
-        chunks = chunks.select(*self.start.geometry.chunks)
-        self.read = chunks if self.read is None else self.read.unionByName(chunks)
+    def _touch(self, area: areas.Area) -> None:
+        """Chunks of all reads together are bounded, empty ones counted."""
+        areas.admit(area, MAX_READ_CHUNKS)
+        self.read.update(tuple(c) for c in areas.cells(area))
+        if len(self.read) > MAX_READ_CHUNKS:
+            raise GridError("OUT_OF_RANGE", f"a transaction reads at most {MAX_READ_CHUNKS} chunks")
 
-    def blocks(self, area: areas.Area | None = None) -> DataFrame:
-        """The view: the snapshot's blocks with the transaction's own writes.  An area that is read counts with its empty chunks."""
+    def _alive(self) -> None:
+        if time.monotonic() > self.ends:
+            raise GridError("CONFLICT", "the transaction was open for too long")
+
+    def _view(self, area: areas.Area | None = None) -> DataFrame:
+        self._alive()
         m = self.start
-        found = self.table.blocks(upto=m.revision, area=area).select(*m.geometry.blocks, *[c.name for c in m.schema.columns])
-        if area is not None:
-            areas.admit(area, MAX_READ_CHUNKS)
-            self._touch(self.table.spark.createDataFrame([tuple(c) for c in areas.cells(area)], ", ".join(f"{c} long" for c in m.geometry.chunks)))
+        found = self.table.blocks(area=area, manifest=m).select(*m.geometry.blocks, *[c.name for c in m.schema.columns])
         if self.private is None:
             return found
         mine = self.private if area is None else areas.select(m.geometry.addressed(self.private), area, m.geometry)
         return wl.overlay(found, mine, m.geometry)
 
+    def blocks(self, area: areas.Area | None = None) -> DataFrame:
+        """The view: the snapshot's blocks with the transaction's own writes.  An area that is read counts with its empty chunks."""
+        if area is not None:
+            self._touch(area)
+        return self._view(area)
+
+    def _mine(self) -> DataFrame | None:
+        """Chunks with private writes."""
+        return None if self.private is None else self.start.geometry.addressed(self.private).select(*self.start.geometry.chunks).distinct()
+
+    def chunk(self, at: tuple[int, ...]) -> dict | None:
+        """Version and commit time of a chunk: the snapshot's, both None if the transaction wrote there; None for a chunk that isn't there."""
+        m, box = self.start, areas.Box(at, at)
+        mine = self._mine()
+        if mine is not None and not areas.select(mine, box, m.geometry).isEmpty():
+            there = not self._view(box).limit(1).isEmpty() or not self.table.identities(area=box, manifest=m).isEmpty()
+            return {"version": None, "commit_time_ms": None} if there else None
+        row = self.table.identities(area=box, manifest=m).select("version", "commit_time_ms").first()
+        return row.asDict() if row else None
+
+    def area(self, area: areas.Area, columns: list[str] | None = None, *, limit: int | None = None, after: tuple[int, ...] | None = None) -> areas.Page | DataFrame:
+        """As ``Table.area`` over the view; chunks that the transaction wrote have no version."""
+        m = self.start
+        cells = wl.chunk_forms(self.blocks(area), m.schema, m.geometry, columns)
+        found = self.table.identities(area=area, manifest=m).join(cells, m.geometry.chunks, "full")
+        mine = self._mine()
+        if mine is not None:
+            found = found.join(mine.withColumn("_mine", F.lit(True)), m.geometry.chunks, "left")
+            found = found.withColumns({c: F.when(F.col("_mine").isNull(), F.col(c)) for c in ("version", "commit_time_ms")}).drop("_mine")
+        # a chunk without blocks is populated if its metadata is
+        by_meta = F.coalesce(F.col("populated") & (F.col("blocks") == 0), F.lit(False))
+        found = found.withColumns({"blocks": F.coalesce(F.size("cells"), F.lit(0)).cast("long"), "populated": F.col("cells").isNotNull() | by_meta}).where("populated")
+        if limit is None and after is None:
+            return found.orderBy(*m.geometry.chunks)
+        return areas.page(found, area, m.geometry, limit=limit or areas.MAX_AREA_CHUNKS, after=after)
+
+    def replace_chunk(self, form: DataFrame, at: tuple[int, ...], columns: list[str] | None = None, *, if_absent: bool = False) -> None:
+        """Make a chunk of the view into what ``form`` holds; with ``columns`` present blocks keep the others."""
+        m = self.start
+        geometry = m.geometry
+        here = self.blocks(areas.Box(at, at))
+        if if_absent and not self.area(areas.Box(at, at)).isEmpty():
+            raise GridError("VERSION_MISMATCH", "the chunk is populated")
+        chunks = self.table.spark.createDataFrame([at], ", ".join(f"{c} long" for c in geometry.chunks))
+        rows = self.table.chunk_writes(form, chunks, here, m, columns)
+        if columns:
+            rest = [c.name for c in m.schema.columns if c.name not in columns]
+            old = here.select(*geometry.blocks, F.lit(True).alias("_old"), *[F.col(n).alias(f"_o_{n}") for n in rest])
+            self._need(rows.where("op = 'S'").join(old, geometry.blocks, "left_anti"), columns)
+            rows = rows.join(old, geometry.blocks, "left")
+            rows = rows.withColumns({c.name: F.when(F.col("_old"), F.col(f"_o_{c.name}")).otherwise(c.initial_col()) for c in m.schema.columns if c.name in rest}).drop("_old", *[f"_o_{n}" for n in rest])
+        self.write(rows)
+
+    def _need(self, new: DataFrame, given: list[str]) -> None:
+        """New blocks must be given the REQUIRED columns that have no default."""
+        for c in self.start.schema.columns:
+            if c.required and not c.has_default and c.name not in given and not new.limit(1).isEmpty():
+                raise invalid(f"column {c.name} is required")
+
     def write(self, rows: DataFrame) -> None:
-        """Full rows to set, or coordinates with ``op`` 'D'; a later write of a block replaces an earlier one."""
+        """Full rows to set, or coordinates with ``op`` 'D'; a later write of a block replaces an earlier one.
+
+        Columns that aren't there get their initial values, unless a new block must be given them.
+        """
         m = self.start
         columns = [c.name for c in m.schema.columns]
         rows = rows if "op" in rows.columns else rows.withColumn("op", F.lit("S"))
+        if not set(columns) <= set(rows.columns):
+            self._need(rows.where("op = 'S'").join(self._view().select(*m.geometry.blocks), m.geometry.blocks, "left_anti"), rows.columns)
         for c in m.schema.columns:
             if c.name not in rows.columns:
                 rows = rows.withColumn(c.name, c.initial_col())
@@ -460,27 +589,29 @@ class Transaction:
             raise GridError("OUT_OF_RANGE", f"a transaction writes at most {MAX_WRITTEN_CHUNKS} chunks")
 
     def commit(self) -> int | None:
-        """One revision for all writes; None if there are none.  CONFLICT if a touched chunk has a version above the snapshot."""
+        """One revision for all writes; None if they change nothing.  CONFLICT if a touched chunk has a version above the snapshot."""
+        self._alive()
         m = self.start
         if self.private is None:
             return None
         touched = m.geometry.addressed(self.private).select(*m.geometry.chunks)
-        if self.read is not None:
-            touched = touched.unionByName(self.read)
+        if self.read:
+            touched = touched.unionByName(self.table.spark.createDataFrame(sorted(self.read), ", ".join(f"{c} long" for c in m.geometry.chunks)))
         while True:
             now = self.table.manifest
             if now.epoch != m.epoch or now.schema.version != m.schema.version:
                 raise GridError("CONFLICT", "the table changed")
-            if now.revision > m.revision and not wl.conflicts(touched, self.table.identities(), m.geometry, m.revision).limit(1).isEmpty():
+            if now.revision > m.revision and not wl.conflicts(touched, self.table.identities(only=touched, manifest=now), m.geometry, m.revision).limit(1).isEmpty():
                 raise GridError("CONFLICT", "a chunk changed since the snapshot")
             try:
-                return self.table.write(self.private, user=self.user, expect=now.revision)
+                revision = self.table.write(self.private, user=self.user, expect=now.revision)
+                return revision if revision > now.revision else None
             except GridError as error:
                 if error.code != "CONFLICT":
                     raise
 
     def rollback(self) -> None:
-        self.private = self.read = None
+        self.private, self.read = None, set()
 
 
 class Store:
@@ -510,7 +641,8 @@ class Store:
             raise GridError("NO_TABLE", f"no table {name}")
         return Table(self, folder)
 
-    def create(self, name: str, schema: Schema, geometry: Geometry, *, if_not_exists: bool = False, lineage: tuple[str, int] | None = None, manifest: Manifest | None = None) -> Table:
+    def create(self, name: str, schema: Schema, geometry: Geometry, *, if_not_exists: bool = False, lineage: tuple[str, int] | None = None, manifest: Manifest | None = None, fill: Callable[[str], None] | None = None) -> Table:
+        """A new table; ``fill`` puts data into its folder before its name is published."""
         if not TABLE_NAME.match(name):
             raise invalid(f"bad table name {name}")
         if name in self.state()["tables"]:
@@ -521,6 +653,8 @@ class Store:
         folder = f"tables/{epoch}"
         first = replace(manifest, epoch=epoch, lineage=lineage) if manifest else Manifest(epoch, schema, geometry)
         Chain(self.files, f"{folder}/manifest").push(1, first.dump())
+        if fill:
+            fill(folder)
 
         def add(state: dict) -> dict:
             if name in state["tables"]:
@@ -537,14 +671,16 @@ class Store:
                 return
             raise GridError("NO_TABLE", f"no table {name}")
 
+        held: list[str] = []
+
         def remove(state: dict) -> dict:
-            state["tables"].pop(name, None)
+            held[:] = [state["tables"].pop(name)] if name in state["tables"] else []
             state["rights"] = {u: {t: v for t, v in r.items() if t != name} for u, r in state["rights"].items()}
             return state
 
-        folder = self.state()["tables"][name]
         self._change(remove)
-        self.files.delete(folder)
+        for folder in held:
+            self.files.delete(folder)
 
     def swap(self, a: str, b: str) -> None:
         """Exchange two names in one step; data and epochs stay with their tables, rights with the names."""
@@ -574,9 +710,12 @@ class Store:
         if document is None:
             raise GridError("NO_TABLE", f"no table {name} in the backup")
         parent = Manifest.load(document)
-        made = self.create(new or name, parent.schema, parent.geometry, lineage=(parent.epoch, parent.revision), manifest=parent)
-        from_files.copy("data", f"{self.files.root}/{made.folder}/data")
-        return made
+
+        def fill(folder: str) -> None:
+            if from_files.names("data"):
+                from_files.copy("data", f"{self.files.root}/{folder}/data")
+
+        return self.create(new or name, parent.schema, parent.geometry, lineage=(parent.epoch, parent.revision), manifest=parent, fill=fill)
 
     def migrate(self, name: str, statement: str, run, user: str = "") -> str:
         """Run a statement once under a permanent name: applied, skipped, or refused if the name has another text."""
@@ -611,7 +750,5 @@ class Store:
         return rights.right(self.state()["rights"].get(user, {}), target)
 
     def slots(self) -> feed.Slots:
-        def save(text: str) -> None:
-            self._change(lambda state: state | {"slots": text})
-
-        return feed.Slots(lambda: self.state()["slots"], save)
+        """The slots; a change is made to the catalog's last document, so that changes by others stay."""
+        return feed.Slots(lambda: self.state()["slots"], apply=lambda step: self._change(lambda state: state | {"slots": step(state["slots"])}))

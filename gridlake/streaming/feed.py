@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from math import prod
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,16 +52,21 @@ def events(found: DataFrame, geometry: Geometry) -> DataFrame:
 def chunk_forms_at_commits(log: DataFrame, schema: Schema, geometry: Geometry) -> DataFrame:
     """(rev, chunk, ``cells``): each touched chunk's present blocks after each commit that changed it.
 
-    Every write is valid until its block's next one; a chunk's commits are matched with the writes valid at them by a join on the
-    chunk, so the output is the sum of the forms' sizes.
+    A change is valid until its block's next one.  A chunk's commits are put into ranges of as many revisions as the chunk has blocks; a change
+    is copied to the ranges it is valid in that hold commits, and meets the commits of each there.  So what is joined is bounded by the forms' sizes
+    and the writes of a range, however many commits a chunk has.
     """
     at = geometry.addressed(log) if geometry.chunks[0] not in log.columns else log
-    history = wl.history(at, schema, geometry)
-    following = F.lead("rev").over(Window.partitionBy(*geometry.blocks).orderBy("rev"))
-    spans = history.withColumn("until", following).where("after is not null").select(*geometry.chunks, geometry.local_index().alias("index"), F.col("after").alias("row"), F.col("rev").alias("since"), "until")
-    commits = history.where("effective").select("rev", *geometry.chunks).distinct()
+    span = prod(geometry.chunk)
+    history = wl.history(at, schema, geometry).where("effective").withColumn("_range", F.expr(f"rev div {span}L"))
+    chunk, block = Window.partitionBy(*geometry.chunks), Window.partitionBy(*geometry.blocks).orderBy("rev")
+    ranges = history.select(*geometry.chunks, "_range").distinct().withColumns({"_nth": F.row_number().over(chunk.orderBy("_range")), "_last": F.count("*").over(chunk).cast("int")})
+    ranked = history.join(ranges, [*geometry.chunks, "_range"])
+    spans = ranked.withColumns({"until": F.lead("rev").over(block), "_end": F.coalesce(F.lead("_nth").over(block), F.col("_last"))}).where("after is not null")
+    spans = spans.select(*geometry.chunks, geometry.local_index().alias("index"), F.col("after").alias("row"), F.col("rev").alias("since"), "until", F.explode(F.sequence("_nth", "_end")).alias("_nth"))
+    commits = ranked.select("rev", *geometry.chunks, "_nth").distinct()
     valid = (F.col("since") <= F.col("rev")) & (F.col("until").isNull() | (F.col("until") > F.col("rev")))
-    same = [commits[c].eqNullSafe(spans[c]) for c in geometry.chunks]
+    same = [commits[c] == spans[c] for c in (*geometry.chunks, "_nth")]
     joined = commits.join(spans, [*same, valid], "left").select("rev", *[commits[c].alias(c) for c in geometry.chunks], F.when(F.col("since").isNotNull(), F.struct("index", "row")).alias("cell"))
     return joined.groupBy("rev", *geometry.chunks).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
 
@@ -95,31 +101,52 @@ class Slot:
 
 @dataclass
 class Slots:
-    """The slots of a store, kept as one JSON document by the given load and save."""
+    """The slots of a store, kept as one JSON document: by load and save, or by ``apply``, which runs a step from the last document to the next as one change."""
 
     load: Callable[[], str | None]
-    save: Callable[[str], None]
+    save: Callable[[str], None] | None = None
     slots: dict[str, Slot] = field(default_factory=dict)
+    apply: Callable[[Callable[[str | None], str]], object] | None = None
 
     def __post_init__(self) -> None:
-        text = self.load()
-        if text:
-            self.slots = {k: Slot(**{**v, "columns": tuple(v["columns"]) if v["columns"] else None}) for k, v in json.loads(text).items()}
+        self.slots = self._read(self.load())
 
-    def _put(self, slot: Slot) -> Slot:
-        self.slots[slot.name] = slot
-        self.save(json.dumps({k: asdict(v) for k, v in self.slots.items()}))
-        return slot
+    @staticmethod
+    def _read(text: str | None) -> dict[str, Slot]:
+        return {k: Slot(**{**v, "columns": tuple(v["columns"]) if v["columns"] else None}) for k, v in json.loads(text or "{}").items()}
+
+    def _change(self, change: Callable[[dict[str, Slot]], None]) -> None:
+        """Make a change to the slots as they are now; it may run again if another change was first."""
+
+        def step(text: str | None) -> str:
+            self.slots = self._read(text)
+            change(self.slots)
+            return json.dumps({k: asdict(v) for k, v in self.slots.items()})
+
+        if self.apply:
+            self.apply(step)
+        else:
+            self.save(step(self.load()))
+
+    def _replace(self, name: str, make: Callable[[Slot], Slot]) -> Slot:
+        self._change(lambda slots: slots.update({name: make(self.get(name))}))
+        return self.slots[name]
 
     def create(self, name: str, table: str, epoch: str, frontier: int, **filters) -> Slot:
-        if name in self.slots:
-            raise GridError("SLOT_EXISTS", f"slot {name} exists")
-        return self._put(Slot(name, table, epoch, frontier, sent=frontier, **filters))
+        def add(slots: dict[str, Slot]) -> None:
+            if name in slots:
+                raise GridError("SLOT_EXISTS", f"slot {name} exists")
+            slots[name] = Slot(name, table, epoch, frontier, sent=frontier, **filters)
+
+        self._change(add)
+        return self.slots[name]
 
     def drop(self, name: str) -> None:
-        self.get(name)
-        del self.slots[name]
-        self.save(json.dumps({k: asdict(v) for k, v in self.slots.items()}))
+        def remove(slots: dict[str, Slot]) -> None:
+            self.get(name)
+            del slots[name]
+
+        self._change(remove)
 
     def get(self, name: str) -> Slot:
         if name not in self.slots:
@@ -128,35 +155,46 @@ class Slots:
 
     def claim(self, name: str, holder: str, takeover: bool = False) -> Slot:
         """One watcher at a time; a takeover replaces it."""
-        slot = self.get(name)
-        if slot.holder and slot.holder != holder and not takeover:
-            raise GridError("SLOT_BUSY", f"slot {name} is watched")
-        return self._put(replace(slot, holder=holder))
+
+        def make(slot: Slot) -> Slot:
+            if slot.holder and slot.holder != holder and not takeover:
+                raise GridError("SLOT_BUSY", f"slot {name} is watched")
+            return replace(slot, holder=holder)
+
+        return self._replace(name, make)
+
+    def release(self, name: str, holder: str) -> Slot:
+        """The holder watches no more; another may."""
+        return self._replace(name, lambda slot: replace(slot, holder="") if slot.holder == holder else slot)
 
     def sent(self, name: str, rev: int) -> Slot:
-        slot = self.get(name)
-        return self._put(replace(slot, sent=max(slot.sent, rev)))
+        return self._replace(name, lambda slot: replace(slot, sent=max(slot.sent, rev)))
 
     def ack(self, name: str, rev: int) -> Slot:
         """Acknowledge all up to a revision: never back, and never beyond what was sent."""
-        slot = self.get(name)
-        if rev > slot.sent:
-            raise invalid(f"ACK {rev} is beyond the last sent revision {slot.sent}")
-        return self._put(replace(slot, acked=max(slot.acked, rev)))
+
+        def make(slot: Slot) -> Slot:
+            if rev > slot.sent:
+                raise invalid(f"ACK {rev} is beyond the last sent revision {slot.sent}")
+            return replace(slot, acked=max(slot.acked, rev))
+
+        return self._replace(name, make)
 
     def lose(self, name: str, reason: str) -> Slot:
-        return self._put(replace(self.get(name), lost=reason))
+        return self._replace(name, lambda slot: replace(slot, lost=reason))
 
-    def check_columns(self, schema: Schema) -> None:
-        """A slot whose column was dropped is lost."""
+    def check_columns(self, schema: Schema, table: str | None = None) -> None:
+        """A slot (of a table, if one is named) whose column was dropped is lost."""
         there = {c.name for c in schema.columns}
-        for slot in list(self.slots.values()):
-            if slot.columns and not set(slot.columns) <= there:
-                self.lose(slot.name, "schema_filter")
 
-    def retained(self) -> int | None:
-        """The revision up to which history may go: the least acknowledged of live slots."""
-        live = [s.acked for s in self.slots.values() if not s.lost]
+        def change(slots: dict[str, Slot]) -> None:
+            slots.update({k: replace(s, lost="schema_filter") for k, s in slots.items() if table in (None, s.table) and s.columns and not set(s.columns) <= there})
+
+        self._change(change)
+
+    def retained(self, table: str | None = None) -> int | None:
+        """The revision up to which history (of a table, if one is named) may go: the least acknowledged of live slots."""
+        live = [s.acked for s in self.slots.values() if not s.lost and table in (None, s.table)]
         return min(live) if live else None
 
 

@@ -57,11 +57,11 @@ def test_nothing_outside_imports_the_training_operators():
 def test_chunk_forms_of_all_chunks(spark, sf):
     e = Events(spark, sf)
     touched = {tuple(r) for r in e.geometry.addressed(e.history.where("effective")).select("rev", "cx", "cy").collect()}
-    got = {(r.rev, r.cx, r.cy) for r in registry.queries()["f08_all_chunk_forms"](spark, sf).collect()}
+    got = {(r.rev, r.cx, r.cy) for r in registry.queries()["f08_chunk_forms"](spark, sf).collect()}
     assert got == touched and len({t[1:] for t in got}) > 1
 
 
 def test_resume_reaches_the_frontier(spark, sf):
     commits = {r.rev for r in Events(spark, sf).history.where("effective and rev > 300").select("rev").collect()}
-    got = [r.rev for r in registry.queries()["f12_resume_to_frontier"](spark, sf).collect()]
+    got = [r.rev for r in registry.queries()["f12_resume"](spark, sf).collect()]
     assert sorted(got) == sorted(commits) and max(got) > 900

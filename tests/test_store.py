@@ -171,7 +171,7 @@ def test_rights(session):
 
 
 @pytest.mark.parametrize("text,message", [
-    ("GTE BLOCK 0 0 FROM t", "did you mean GET"), ("GET BLOCK 0 FROM t", "column"), ("GET BLOCK 0 0 FROM t COLUMNS", "expected a name"), ("SELECT 1", "unknown statement"), ("CREATE TABLE t (k u99)", "unknown type"),
+    ("GTE BLOCK 0 0 FROM t", "like it: GET"), ("GET BLOCK 0 FROM t", "column"), ("GET BLOCK 0 0 FROM t COLUMNS", "expected a name"), ("SELECT 1", "unknown statement"), ("CREATE TABLE t (k u99)", "unknown type"),
     ("FLUSH WAL", "UNSUPPORTED"), ("GET BLOCK 0 0\nFROM t", "one statement"), ("GET BLOCK 0 0 FROM t WITH VERSION WITH VERSION", "twice|NO_TABLE"),
 ])
 def test_statement_errors(session, text, message):
@@ -209,3 +209,171 @@ def test_merged_segments_keep_history(spark, tmp_path):
     assert table.merge_segments() == 4 and look() == before
     assert table.vacuum() == 4 and look() == before and table.verify() == []
     assert table.merge_segments() == 0
+
+
+def test_transaction_covers_chunk_writes_and_required_columns(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    a, b = Session(store), Session(store)
+    a.run("CREATE TABLE w (id u10 REQUIRED, temp i8 NULL) CHUNK 4 x 4")
+    a.run("SET BLOCK 0 0 IN w id = 1")
+    form = spark.createDataFrame([(1, 1, 7, 2)], "x long, y long, id int, temp int")
+    a.run("BEGIN")
+    a.run("SET CHUNK 0 0 IN w $1", [form])
+    assert a.run("GET BLOCK 0 0 FROM w") is None and a.run("GET BLOCK 1 1 FROM w") == {"id": 7, "temp": 2}
+    assert b.run("GET BLOCK 0 0 FROM w") == {"id": 1, "temp": None}
+    a.run("ROLLBACK")
+    assert a.run("GET BLOCK 0 0 FROM w") == {"id": 1, "temp": None} and a.run("DESCRIBE w")["revision"] == 1
+    a.run("BEGIN")
+    with pytest.raises(GridError, match="required"):
+        a.run("SET BLOCK 9 9 IN w temp = 3")
+    a.run("SET BLOCK 0 0 IN w temp = 4")  # present: id stays
+    a.run("SET CHUNK 5 5 IN w COLUMNS id $1", [spark.createDataFrame([(20, 20, 3)], "x long, y long, id int")])
+    with pytest.raises(GridError, match="IF VERSION"):
+        a.run("DELETE BLOCK 0 0 FROM w IF VERSION 1")
+    assert a.run("COMMIT") == 2
+    assert a.run("GET BLOCK 0 0 FROM w") == {"id": 1, "temp": 4} and a.run("GET BLOCK 20 20 FROM w") == {"id": 3, "temp": None}
+    a.run("BEGIN")
+    a.run("SET BLOCK 0 0 IN w temp = 4")
+    assert a.run("COMMIT") is None and a.run("DESCRIBE w")["revision"] == 2
+    for text in ("SCAN CHUNKS FROM w", "SHOW TABLES", "BEGIN"):
+        a.run("BEGIN")
+        with pytest.raises(GridError):
+            a.run(text)
+        a.run("ROLLBACK")
+
+
+def test_reads_in_a_transaction(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    a, b = Session(store), Session(store)
+    a.run("CREATE TABLE w (id u10, temp i8 NULL) CHUNK 4 x 4")
+    a.run("SET BLOCK 0 0 IN w id = 1")
+    a.run("SET BLOCK 8 0 IN w id = 2")
+    a.run("BEGIN")
+    assert a.run("GET CHUNK 10 10 FROM w") is None
+    assert a.run("DELETE BLOCK 40 40 FROM w") is None and a.run("GET CHUNK 10 10 FROM w") is None
+    a.run("SET BLOCK 40 40 IN w id = 8")
+    chunk = a.run("GET CHUNK 10 10 FROM w")
+    assert chunk["version"] is None and [c.id for c in chunk["cells"]] == [8]
+    b.run("SET BLOCK 1 0 IN w id = 5")  # the snapshot doesn't see it
+    assert a.run("GET CHUNK 0 0 FROM w COLUMNS id")["version"] == 1 and len(a.run("GET CHUNK 0 0 FROM w")["cells"]) == 1
+    assert a.run("GET BLOCK 0 0 FROM w COLUMNS id WITH VERSION") == [1, {"id": 1}]
+    assert a.run("GET BLOCK 40 40 FROM w COLUMNS id WITH VERSION") == [None, {"id": 8}]
+    found = a.run("GET AREA 0 0 TO 10 10 FROM w COLUMNS id").collect()
+    assert [(r.cx, r.cy, r.version, [tuple(c) for c in r.cells]) for r in found] == [(0, 0, 1, [(0, 1)]), (2, 0, 2, [(0, 2)]), (10, 10, None, [(0, 8)])]
+    page = a.run("GET AREA 0 0 TO 10 10 FROM w LIMIT 12 AFTER 1 0")
+    assert page["more"] and [(r.cx, r.cy) for r in page["chunks"].collect()] == [(2, 0)]
+    a.run("ROLLBACK")
+    assert a.run("GET CHUNK 10 10 FROM w") is None
+
+
+def test_conditional_chunk_writes_are_one_step(spark, tmp_path, monkeypatch):
+    """A writer that comes between the check and the write makes the check run again."""
+    store = Store(spark, str(tmp_path / "s"))
+    session = Session(store)
+    session.run("CREATE TABLE w (id u10) CHUNK 4 x 4 CHUNK COLUMNS (owner u8 DEFAULT 0)")
+    session.run("SET BLOCK 0 0 IN w id = 1")
+    form = spark.createDataFrame([(0, 0, 9)], "x long, y long, id int")
+    checked = Session._expect
+
+    def late(self, *a, **b):
+        found = checked(self, *a, **b)
+        monkeypatch.setattr(Session, "_expect", checked)
+        Session(store).run("SET BLOCK 1 1 IN w id = 2")
+        return found
+
+    for text, p in (("SET CHUNK 0 0 IN w $1 IF VERSION 1", [form]), ("SET CHUNK 0 0 IN w META owner = 3 IF VERSION 2", [])):
+        monkeypatch.setattr(Session, "_expect", late)
+        if "META" in text:
+            monkeypatch.setattr(Session, "_expect", lambda self, *a, **b: (checked(self, *a, **b), store.table("w").write(spark.createDataFrame([(2, 2, 2)], "x long, y long, id int")))[0])
+        with pytest.raises(GridError, match="VERSION_MISMATCH"):
+            session.run(text, p)
+        monkeypatch.setattr(Session, "_expect", checked)
+    assert session.run("GET BLOCK 0 0 FROM w") == {"id": 1} and session.run("GET BLOCK 1 1 FROM w") == {"id": 2}
+    with pytest.raises(GridError, match="another chunk"):
+        session.run("SET CHUNK 0 0 IN w $1", [spark.createDataFrame([(50, 50, 1)], "x long, y long, id int")])
+
+
+def test_writes_that_change_nothing_take_no_revision(session):
+    run = session.run
+    run("CREATE TABLE w (id u10, h f64) CHUNK 4 x 4 CHUNK COLUMNS (owner u8 REQUIRED, note text(4) NULL)")
+    run("SET BLOCK 0 0 IN w id = 1, h = 1.5")
+    for text in ("SET BLOCK 0 0 IN w id = 1", "SET BLOCK 0 0 IN w h = 1.5, id = 1", "DELETE BLOCK 1 1 FROM w", "DELETE BLOCK 90 90 FROM w"):
+        run(text)
+        assert run("DESCRIBE w")["revision"] == 1, text
+    with pytest.raises(GridError, match="required"):
+        run("SET CHUNK 0 0 IN w META note = 'a'")
+    assert run("SET CHUNK 0 0 IN w META owner = 2") == 2 and run("SET CHUNK 0 0 IN w META owner = 2") == 2
+    assert run("SET CHUNK 0 0 IN w META note = 'a'") == 3
+    with pytest.raises(GridError, match="SYNTAX"):
+        run("DROP TABLE w nonsense 5")
+    assert run("SHOW TABLES") == ["w"]
+
+
+def test_users_without_rights(session, tmp_path):
+    session.run("CREATE TABLE w (id u10) CHUNK 4 x 4")
+    session.run("GRANT WRITE ON w TO eve")
+    eve = Session(session.store, "eve")
+    for text in ("GRANT ADMIN ON * TO eve", "REVOKE READ ON w FROM eve", "SHOW USERS", f"BACKUP TO '{tmp_path}/b'", f"RESTORE TABLE w FROM '{tmp_path}/b' AS v", "DROP TABLE w"):
+        with pytest.raises(GridError, match="PERMISSION_DENIED"):
+            eve.run(text)
+    session.run("GRANT ADMIN ON * TO root")
+    assert Session(session.store, "root").run("GRANT READ ON w TO bob") == "OK"
+
+
+def test_slots_of_two_consumers(session):
+    run = session.run
+    run("CREATE TABLE w (id u10) CHUNK 4 x 4")
+    run("CREATE SLOT 'a' ON w")
+    run("CREATE SLOT 'b' ON w")
+    run("SET BLOCK 0 0 IN w id = 1")
+    first, second = session.store.slots(), session.store.slots()  # both read before either writes
+    first.sent("a", 1)
+    second.sent("b", 1)
+    first.ack("a", 1)
+    second.ack("b", 1)
+    now = session.store.slots()
+    assert now.get("a").acked == now.get("b").acked == 1 and now.retained() == 1
+    now.claim("a", "x")
+    now.release("a", "x")
+    assert session.store.slots().claim("a", "y").holder == "y"
+
+
+def test_limits_of_writes_and_transactions(session, monkeypatch):
+    from gridlake.sources import store as stored
+
+    run = session.run
+    run("CREATE TABLE w (note text(64) NULL, n u8) CHUNK 4 x 4 WITH var_max_chunk_bytes = 40")
+    run("SET BLOCK 0 0 IN w note = '0123456789'")  # 22 bytes
+    with pytest.raises(GridError, match="OUT_OF_RANGE"):
+        run("SET BLOCK 1 0 IN w note = '0123456789'")
+    run("SET BLOCK 9 9 IN w note = '0123456789'")  # another chunk
+    run("SET BLOCK 0 0 IN w n = 3")
+    run("DELETE BLOCK 0 0 FROM w")
+    run("SET BLOCK 1 0 IN w note = '0123456789'")
+    assert run("GET BLOCK 1 0 FROM w COLUMNS note") == {"note": "0123456789"}
+    table = session.store.table("w")
+    monkeypatch.setattr(stored, "MAX_READ_CHUNKS", 20)
+    txn = Transaction(table)
+    txn.blocks(areas.Box((0, 0), (3, 3)))
+    txn.blocks(areas.Box((1, 1), (2, 2)))  # the same chunks again
+    with pytest.raises(GridError, match="reads at most"):
+        txn.blocks(areas.Box((10, 10), (13, 13)))
+    with pytest.raises(GridError, match="too long"):
+        Transaction(table, seconds=-1).commit()
+
+
+def test_slots_hold_history_and_are_given_up(session):
+    run = session.run
+    run("CREATE TABLE w (n u8) CHUNK 4 x 4")
+    run("CREATE SLOT 's' ON w")
+    for n in range(1, 4):
+        run(f"SET BLOCK 0 0 IN w n = {n}")
+    run("DELETE BLOCK 0 0 FROM w")
+    run("WATCH w SLOT 's'")
+    run("ACK 2 SLOT 's'")
+    assert run("COMPACT TOMBSTONES w BEFORE 100") == 2
+    other = Session(session.store, "bob")
+    run("GRANT READ ON w TO bob")
+    with pytest.raises(GridError, match="SLOT_BUSY"):
+        other.run("WATCH w SLOT 's'")
+    assert run("UNWATCH SLOT 's'") == "OK" and other.run("WATCH w SLOT 's'")["changes"].count() == 2
