@@ -26,14 +26,24 @@ TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "BSD-3-Clause notice": "Released under the BSD 3-Clause License.",
+    "BSD-2-Clause notice": "Released under the BSD 2-Clause License.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "ISC notice": "Released under the ISC License.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUE = "(?i)licen[cs]|permission is hereby granted|redistribution and use in source"
+CUE = "(?i)licen[cs]|permission is hereby granted|permission to use, copy, modify|redistribution and use in source|free and unencumbered software"
 #: A cue that may be wrapped over lines.
 WRAPPED_CUE = CUE.replace(" ", r"\W+")
 LONGEST = 6
@@ -41,7 +51,7 @@ LONGEST = 6
 RUN_CHARS = 1200
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]+)"
 #: Identifiers of one license besides its name.
-IDENTIFIERS = {"gpl-3.0-only": "GPL-3.0", "gpl-3.0-or-later": "GPL-3.0", "gpl-3.0+": "GPL-3.0"}
+IDENTIFIERS = {f"{name.lower()}{form}": name for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0") for form in ("-only", "-or-later", "+")}
 LICENCE_FILE = "(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 

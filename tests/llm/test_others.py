@@ -164,6 +164,34 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def near_leads(rows):
+    """For each (id, text) the smallest id of its group: SimHashes within 2 bits, or 5-word shingle sets at a Jaccard similarity of 0.8."""
+    words = [brute.WORD.findall(t.lower()) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    leads = brute.groups([i for i, _ in rows], [brute.simhash(t) for _, t in rows])
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and leads[a] != leads[b] and len(x & y) / len(x | y) >= 0.8:
+                low, high = sorted((leads[a], leads[b]))
+                leads = [low if lead == high else lead for lead in leads]
+    return leads
+
+
+def test_pipeline_on_awkward_rows(spark, sf):
+    """Nulls, empty and repeated rows, an empty table, and columns with names that stages use: nothing crashes, all columns stay."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, `_id` string, `_spans` string, doc string, row long"
+    good = next(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if not brute.base_rules(r.text)[-1] and len(r.text) > 500)
+    rows = [(i, t, None, "s", len(t or ""), "a", "b", "c", 1) for i, t in [(1, None), (2, ""), (None, good), (3, good), (3, good), (4, "too short"), (None, None)]]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, shape)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, sf).collect(), shape)
+            assert docs.columns == [x.split()[0].strip("`") for x in shape.split(", ")], name
+        assert {r.doc_id for r in docs.collect()} <= {3, None} and docs.count() <= 1
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert len(packed) == docs.count()
+
+
 def test_pipeline_against_its_stages_by_hand(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = docs
@@ -174,8 +202,7 @@ def test_pipeline_against_its_stages_by_hand(spark, sf):
 
     model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     first = sorted((r.doc_id, r.text) for r in docs.collect() if not brute.base_rules(r.text)[-1] and model.score(r.text.encode()) >= model.threshold)
-    leads = brute.groups([i for i, _ in first], [brute.simhash(t) for _, t in first])
-    second = [(i, t) for (i, t), lead in zip(first, leads) if i == lead]
+    second = [(i, t) for (i, t), lead in zip(first, near_leads(first)) if i == lead]
     automaton = pii.anchors()
     expected = {}
     for (i, text), gone in zip(second, brute.covered([t for _, t in second])):
@@ -190,18 +217,25 @@ def test_pipeline_against_its_stages_by_hand(spark, sf):
 def test_pipeline_near_duplicates_reach_jaccard(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    words = [brute.WORD.findall(t.lower()) for _, t in rows]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
-    leads = brute.groups([i for i, _ in rows], [brute.simhash(t) for _, t in rows])
-    for a, x in enumerate(sets):
-        for b, y in enumerate(sets[:a]):
-            if x and y and leads[a] != leads[b] and len(x & y) / len(x | y) >= 0.8:
-                low, high = sorted((leads[a], leads[b]))
-                leads = [low if lead == high else lead for lead in leads]
+    leads = near_leads(rows)
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
     assert kept == set(leads) and not {145, 177} & kept
 
 
+def test_sibling_licenses_are_told_apart(spark):
+    lgpl = "/* This library is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Lesser General Public License as published\n * by the Free Software Foundation, either version 3 of the License. */"
+    isc = "# Permission to use, copy, modify, and/or distribute this software for\n# any purpose with or without fee is hereby granted, provided that"
+    files = [
+        ("GNU Lesser General Public License, version 3", "LGPL-3.0"), ("GNU Affero General Public License, version 3", "AGPL-3.0"), ("GNU General Public License, version 3", "GPL-3.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("Released under the BSD 2-Clause License.", "BSD-2-Clause"), ("Released under the BSD 3-Clause License.", "BSD-3-Clause"), ("Released under the ISC License.", "ISC"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        (lgpl, "LGPL-3.0"), (isc, "ISC"), ("// SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0"), ("x\nReleased under the MIT License.\ny\nReleased under the MIT License.", "MIT"),
+        ("word " * 20000 + "\nReleased under the MIT License.\n" + "more " * 20000, "MIT"),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/f.c", t) for i, (t, _) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.id: r.own_license for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(files))] == [x for _, x in files]
+
+
 def test_wrapped_headers_and_identifiers(spark):
     mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nint x;"
     gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\nint x;"
