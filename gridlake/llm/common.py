@@ -39,6 +39,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by a shuffle whatever its estimated size.
+
+    The estimate doesn't count the rows that explode, stack or Python make, and takes compressed files for their rows, so tables that grow with the input would be broadcast through the driver.
+    """
+    return df.hint("merge")
+
+
 def input_columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so further columns of any name can't clash."""
     return df.select(*[F.col(f"`{source}`").alias(target) for target, source in names.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import materialize
+from gridlake.llm.common import materialize, shuffled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,14 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
         step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to"))
         for _ in range(2):
             on = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            step = step.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+            step = step.join(shuffled(on), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
         step = materialize(step, "step")
         if reached is None:
             reached = step.withColumnRenamed("to", "root")
         else:
-            reached = materialize(reached.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "reached")
+            reached = materialize(reached.join(shuffled(step.select(F.col("node").alias("root"), "to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "reached")
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        e = e.join(a, "a").join(b, "b").where("x <> y")
+        e = e.join(shuffled(a), "a").join(shuffled(b), "b").where("x <> y")
         e = materialize(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if reached is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import input_columns, materialize, texts
+from gridlake.llm.common import input_columns, materialize, shuffled, texts
 from gridlake.llm.graph import components
 
 RADIUS = 2
@@ -81,7 +81,7 @@ def links(fps: DataFrame) -> DataFrame:
     # a bit that is 0 here and 1 there is flipped here only, so each pair is met once in a segment and piece
     masks = F.expr("filter(transform(sequence(0, 32), i -> if(i = 32, 0L, shiftleft(1L, i))), m -> (part & m) = 0L)")
     probes = table.withColumn("mask", F.explode(masks)).select("seg", F.col("fp").alias("a"), F.expr("part | mask").alias("part"), "nth", "piece", (F.col("mask") == 0).alias("same"))
-    pairs = probes.join(table.withColumnRenamed("fp", "b"), ["seg", "part", "nth", "piece"])
+    pairs = probes.join(shuffled(table.withColumnRenamed("fp", "b")), ["seg", "part", "nth", "piece"])
     return pairs.where(f"bit_count(a ^ b) <= {RADIUS} and a <> b and (not same or a < b)").select("a", "b")
 
 
@@ -96,10 +96,10 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     smallest = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = links(smallest.select("fp"))
     roots = components(linked if more is None else linked.unionByName(more))
-    found = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = smallest.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_root = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.join(by_root, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "body", "root")
+    named = found.join(shuffled(by_root), "root").select("fp", "root", "component_id")
+    return marked.join(shuffled(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "body", "root")
 
 
 def thin(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
@@ -112,10 +112,10 @@ def thin(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mor
     chosen = marked.groupBy("root").agg(F.min(first).alias("at")).select(F.col("at.doc_id").alias("id"), F.col("at.body").alias("body"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("doc_body"))
     match = F.expr("doc_id <=> id and doc_body = body")
-    kept = held.join(chosen, match, "left_semi")
+    kept = held.join(shuffled(chosen), match, "left_semi")
     # rows that agree in id and text fall into one component; only then can a component keep more than one row
     twice = marked.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("id"), "body")
     if not twice.isEmpty():
-        again = kept.join(twice, match, "left_semi").groupBy("doc_id", "doc_body").agg(F.first("doc").alias("doc"))
-        kept = kept.join(twice, match, "left_anti").select("doc").unionByName(again.select("doc"))
+        again = kept.join(shuffled(twice), match, "left_semi").groupBy("doc_id", "doc_body").agg(F.first("doc").alias("doc"))
+        kept = kept.join(shuffled(twice), match, "left_anti").select("doc").unionByName(again.select("doc"))
     return kept.select("doc.*")
