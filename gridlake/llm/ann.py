@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import materialize
+from gridlake.llm.common import materialize, shuffled
 
 BITS = 256
 #: Most substrings, and most bits that a probe differs in at first.
@@ -170,7 +170,7 @@ def fetched(rows: DataFrame, asked: DataFrame, index: Index, d: int, *, verify:
     entries = _coded(rows, index, d).select("h", "g", *code, F.posexplode("value").alias("s", "value"))
     probes = _coded(asked, index, d).select(F.col("h").alias("qh"), F.col("g").alias("qg"), *[F.col(c).alias(f"q{c}") for c in code], F.posexplode("value").alias("s", "value"))
     probes = probes.withColumn("mask", F.explode(F.lit(index.masks()))).withColumn("value", F.expr("value ^ mask")).drop("mask")
-    found = probes.join(entries, ["s", "value"])
+    found = probes.join(shuffled(entries), ["s", "value"])
     if verify:
         found = found.where(" + ".join(f"bit_count({c} ^ q{c})" for c in code) + f" <= {index.radius}")
     return found.select("qh", "qg", "h", "g")
@@ -199,7 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, sample: int =
 
     def ranked(asked: DataFrame, index: Index, verify: bool) -> DataFrame:
         pairs = fetched(rows, asked, index, d, verify=verify).repartition("h", "g").dropDuplicates()  # one shuffle for both this and the join
-        both = pairs.join(rows, ["h", "g"]).join(asked.select(F.col("h").alias("qh"), F.col("g").alias("qg"), F.col("v").alias("qv")), ["qh", "qg"])
+        both = pairs.join(shuffled(rows), ["h", "g"]).join(shuffled(asked.select(F.col("h").alias("qh"), F.col("g").alias("qg"), F.col("v").alias("qv"))), ["qh", "qg"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -213,17 +213,17 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, sample: int =
     def best(asked: DataFrame, index: Index, verify: bool) -> DataFrame:
         near = Window.partitionBy("qh", "qg").orderBy(F.desc("score"), "vec_id")
         some = ranked(asked.dropDuplicates(["h", "g"]), index, verify).withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1).drop("n")
-        named = some.withColumnsRenamed({"qh": "h", "qg": "g"}).join(asked.select("h", "g", F.col("id").alias("query_id")), ["h", "g"]).where("vec_id <> query_id")
+        named = some.withColumnsRenamed({"qh": "h", "qg": "g"}).join(shuffled(asked.select("h", "g", F.col("id").alias("query_id"))), ["h", "g"]).where("vec_id <> query_id")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     found, verify = materialize(best(asked, index, True), "nearest"), True
     while True:
         enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-        short = materialize(asked.join(enough, "id", "left_anti"), "short")
+        short = materialize(asked.join(shuffled(enough), "id", "left_anti"), "short")
         if (not verify and index.reach >= index.width) or short.isEmpty():
             return found
         index = index if verify else replace(index, reach=index.reach + 1)
         verify = False
         again = best(short, index, False)
-        found = materialize(found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again), "nearest")
+        found = materialize(found.join(shuffled(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti").unionByName(again), "nearest")

@@ -1,6 +1,8 @@
 """Tables that grow with the input aren't broadcast, however small their estimates are."""
 
-from gridlake.llm import simhash
+import numpy as np
+
+from gridlake.llm import ann, simhash
 
 
 def plan(df):
@@ -12,3 +14,10 @@ def test_fingerprints_are_joined_by_shuffle(spark, sf):
     grouped = simhash.group(spark.read.parquet(f"{sf}/documents.parquet"))
     for df in (made, grouped):
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_probes_and_index_are_joined_by_shuffle(spark):
+    rows = spark.range(40).selectExpr("id as h", "id as g", "array(double(id), 1d, 2d, 3d) as v")
+    index = ann.learn(np.random.default_rng(1).standard_normal((40, 4)), 40)
+    made = ann.fetched(rows, rows.where("h < 3"), index, 4)
+    assert "SortMergeJoin" in plan(made) and "Broadcast" not in plan(made)
