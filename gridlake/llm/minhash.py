@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import input_columns, materialize, texts
+from gridlake.llm.common import input_columns, materialize, shuffled, texts
 from gridlake.llm.simhash import SHINGLE, majority, shingle_values
 
 BANDS = 20
@@ -80,7 +80,7 @@ def links(docs: DataFrame, *, text_col: str = "text", least: float = LEAST) -> D
     sketched = materialize(d.mapInArrow(_sketches, "body long, fp long, key long, bands array<long>"), "sketches")
     one = sketched.groupBy("key").agg(F.min(F.struct("body", "fp", "bands")).alias("one"))
     one = materialize(one.select("key", "one.body", "one.fp", "one.bands"), "sketched-sets")
-    equal = sketched.select("key", F.col("fp").alias("a")).distinct().join(one.select("key", F.col("fp").alias("b")), "key").where("a <> b").select("a", "b")
+    equal = sketched.select("key", F.col("fp").alias("a")).distinct().join(shuffled(one.select("key", F.col("fp").alias("b"))), "key").where("a <> b").select("a", "b")
 
     keys = one.select("body", F.posexplode("bands").alias("band", "part"))
     order = Window.partitionBy("band", "part").orderBy(F.xxhash64("body", "band"), "body")
@@ -89,7 +89,7 @@ def links(docs: DataFrame, *, text_col: str = "text", least: float = LEAST) -> D
     met = materialize(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "met")
 
     asked = met.select(F.col("x").alias("body")).unionByName(met.select(F.col("y").alias("body"))).distinct()
-    sets = materialize(d.join(asked, "body", "left_semi").dropDuplicates(["body"]).mapInArrow(_sets, "body long, fp long, found array<long>"), "sets")
+    sets = materialize(d.join(shuffled(asked), "body", "left_semi").dropDuplicates(["body"]).mapInArrow(_sets, "body long, fp long, found array<long>"), "sets")
     x, y = (sets.select(F.col("body").alias(c), F.col("fp").alias(fp), F.col("found").alias(f"of_{c}")) for c, fp in (("x", "a"), ("y", "b")))
-    both = met.join(x, "x").join(y, "y").select("a", "b", (F.size("of_x") + F.size("of_y")).alias("n"), F.size(F.array_intersect("of_x", "of_y")).alias("shared"))
+    both = met.join(shuffled(x), "x").join(shuffled(y), "y").select("a", "b", (F.size("of_x") + F.size("of_y")).alias("n"), F.size(F.array_intersect("of_x", "of_y")).alias("shared"))
     return both.where((F.col("a") != F.col("b")) & (F.col("shared") / (F.col("n") - F.col("shared")) >= least)).select("a", "b").unionByName(equal)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gridlake.llm import ann, simhash
+from gridlake.llm import ann, minhash, simhash
 
 
 def plan(df):
@@ -21,3 +21,8 @@ def test_probes_and_index_are_joined_by_shuffle(spark):
     index = ann.learn(np.random.default_rng(1).standard_normal((40, 4)), 40)
     made = ann.fetched(rows, rows.where("h < 3"), index, 4)
     assert "SortMergeJoin" in plan(made) and "Broadcast" not in plan(made)
+
+
+def test_near_copies_are_joined_by_shuffle(spark, sf):
+    made = minhash.links(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert "SortMergeJoin" in plan(made) and "Broadcast" not in plan(made)
