@@ -1,11 +1,12 @@
-"""Near copies by MinHash bands, verified by the exact Jaccard similarity of sets of 5-word shingles.
+"""Near copies by prefixes of ordered sets, verified by the exact Jaccard similarity of sets of 5-word shingles.
 
-A text's sketch holds the least value of its shingles under ``BANDS`` x ``ROWS`` fixed multipliers; each band of ``ROWS`` such
-values is hashed to one key.  Two texts at similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, 0.99997 at 0.8.
+Shingles have one order for all texts: rare ones first, by counts of all shingles in ``BINS`` bins.  Two sets at similarity ``least`` or more
+share a shingle among the first n - ceil(least * n) + 1 of either (n: its size), so no pair is left to chance.  Whatever the counts are, any order is right; rare
+first keeps common passages out of the prefixes.
 
-Texts with equal shingle sets cost one row.  Within a band's bucket, put in an order of its own by hash, each text is compared with
-the ``REACH`` before it: all pairs of a bucket of up to ``REACH`` + 1, and a number of rows linear in the size of a larger one, whose
-members meet others in each band they share.
+Texts with equal shingle sets cost one row.  Of the sets that share a prefix shingle, in an order of its own by hash, each is first compared with the
+``REACH`` before it: all pairs of up to ``REACH`` + 1 sets.  Where more share it, the sets that aren't yet connected are then compared, in all pairs of
+different components, so a large group of near copies costs a number of rows linear in its size and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import input_columns, materialize, shuffled, texts
+from gridlake.llm.graph import components
 from gridlake.llm.simhash import SHINGLE, majority, shingle_values
 
-BANDS = 20
-ROWS = 4
+BINS = 1 << 16
 REACH = 6
 LEAST = 0.8
-MULTIPLIERS = np.random.default_rng(8).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(data: bytes, values: np.ndarray) -> np.ndarray:
@@ -40,27 +40,6 @@ def shingles(data: bytes, values: np.ndarray) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One key per band."""
-    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), 1024):
-        np.minimum(least, (found[at : at + 1024, None] * MULTIPLIERS).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for body, data in zip(batch.column(0).to_pylist(), texts(batch)):
-            values = shingle_values(data, SHINGLE)
-            if len(values):
-                found = shingles(data, values)
-                key = np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)
-                rows.append((body, majority(values).view(np.int64), key, bands(found)))
-        cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], names=["body", "fp", "key", "bands"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -71,25 +50,87 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.list_(pa.int64()))], names=["body", "fp", "found"])
 
 
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BINS, dtype=np.int64)
+    for batch in batches:
+        for data in texts(batch):
+            values = shingle_values(data, SHINGLE)
+            if len(values):
+                np.add.at(counts, shingles(data, values) >> np.uint64(48), 1)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["bin", "n"])
+
+
+def commonness(texts_only: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall into each bin."""
+    counts = np.zeros(BINS, dtype=np.int64)
+    for row in texts_only.mapInArrow(_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
+        counts[row.bin] = row.n
+    return counts
+
+
+def prefix(found: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which sets at similarity ``least`` share one."""
+    n = len(found)
+    order = np.lexsort((found, counts[found >> np.uint64(48)]))
+    return found[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
+def _near(least: float, x: str, y: str) -> str:
+    """Whether sets of sizes ``n``, whose first common shingle is at places ``pos``, can reach the similarity."""
+    return f"least({x}.n, {y}.n) >= {least} * greatest({x}.n, {y}.n) - 1e-6 and 1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1 >= {least / (1 + least)!r} * ({x}.n + {y}.n) - 1e-6"
+
+
 def links(docs: DataFrame, *, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Pairs (a, b) of different SimHash fingerprints of texts whose shingle sets have a Jaccard similarity of ``least`` or more.
 
+    They connect all texts that such similarities connect; a pair that others connect may be left out.
     Null texts and texts without words are in no pair.  An empty table gives an empty result.
     """
     d = input_columns(docs, text=text_col).select(F.xxhash64("text").alias("body"), "text")
-    sketched = materialize(d.mapInArrow(_sketches, "body long, fp long, key long, bands array<long>"), "sketches")
-    one = sketched.groupBy("key").agg(F.min(F.struct("body", "fp", "bands")).alias("one"))
-    one = materialize(one.select("key", "one.body", "one.fp", "one.bands"), "sketched-sets")
+    counts = commonness(d.select("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for body, data in zip(batch.column(0).to_pylist(), texts(batch)):
+                values = shingle_values(data, SHINGLE)
+                if len(values):
+                    found = shingles(data, values)
+                    key = np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)
+                    rows.append((body, majority(values).view(np.int64), key, len(found), prefix(found, counts, least).view(np.int64)))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names=["body", "fp", "key", "n", "first"])
+
+    sketched = materialize(d.mapInArrow(sketch, "body long, fp long, key long, n long, first array<long>"), "sketches")
+    one = sketched.groupBy("key").agg(F.min(F.struct("body", "fp", "n", "first")).alias("one"))
+    one = materialize(one.select("key", "one.*"), "sketched-sets")
     equal = sketched.select("key", F.col("fp").alias("a")).distinct().join(shuffled(one.select("key", F.col("fp").alias("b"))), "key").where("a <> b").select("a", "b")
 
-    keys = one.select("body", F.posexplode("bands").alias("band", "part"))
-    order = Window.partitionBy("band", "part").orderBy(F.xxhash64("body", "band"), "body")
-    near = F.array_compact(F.array(*[F.lag("body", k).over(order) for k in range(1, REACH + 1)]))
-    met = keys.select(F.col("body").alias("x"), near.alias("near")).where(F.size("near") > 0).select("x", F.explode("near").alias("y"))
-    met = materialize(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "met")
-
-    asked = met.select(F.col("x").alias("body")).unionByName(met.select(F.col("y").alias("body"))).distinct()
-    sets = materialize(d.join(shuffled(asked), "body", "left_semi").dropDuplicates(["body"]).mapInArrow(_sets, "body long, fp long, found array<long>"), "sets")
-    x, y = (sets.select(F.col("body").alias(c), F.col("fp").alias(fp), F.col("found").alias(f"of_{c}")) for c, fp in (("x", "a"), ("y", "b")))
-    both = met.join(shuffled(x), "x").join(shuffled(y), "y").select("a", "b", (F.size("of_x") + F.size("of_y")).alias("n"), F.size(F.array_intersect("of_x", "of_y")).alias("shared"))
-    return both.where((F.col("a") != F.col("b")) & (F.col("shared") / (F.col("n") - F.col("shared")) >= least)).select("a", "b").unionByName(equal)
+    placed = one.select("body", "n", F.posexplode("first").alias("pos", "part"))
+    together, order = Window.partitionBy("part"), Window.partitionBy("part").orderBy(F.xxhash64("body", "part"), "body")
+    before = F.array_compact(F.array(*[F.lag(F.struct("body", "n", "pos"), k).over(order) for k in range(1, REACH + 1)]))
+    shared = materialize(placed.withColumns({"near": before, "held": F.count("*").over(together)}).where("held > 1"), "shared")
+
+    def verified(met: DataFrame) -> DataFrame:
+        met = materialize(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "met")
+        asked = met.select(F.col("x").alias("body")).unionByName(met.select(F.col("y").alias("body"))).distinct()
+        sets = materialize(d.join(shuffled(asked), "body", "left_semi").dropDuplicates(["body"]).mapInArrow(_sets, "body long, fp long, found array<long>"), "sets")
+        x, y = (sets.select(F.col("body").alias(c), F.col("fp").alias(fp), F.col("found").alias(f"of_{c}")) for c, fp in (("x", "a"), ("y", "b")))
+        both = met.join(shuffled(x), "x").join(shuffled(y), "y").select("x", "y", "a", "b", (F.size("of_x") + F.size("of_y")).alias("n"), F.size(F.array_intersect("of_x", "of_y")).alias("shared"))
+        return materialize(both.where(F.col("shared") / (F.col("n") - F.col("shared")) >= least).select("x", "y", "a", "b"), "similar")
+
+    row = F.struct("body", "n", "pos")
+    similar = verified(shared.select(row.alias("r"), F.explode("near").alias("q")).where(_near(least, "r", "q")).select(F.col("r.body").alias("x"), F.col("q.body").alias("y")))
+    crowded = shared.where(F.col("held") > REACH + 1)
+    if not crowded.isEmpty():
+        roots = components(similar.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "body")
+        rooted = materialize(crowded.select("part", "body", row.alias("r")).join(shuffled(roots), "body", "left").select("part", "r", F.coalesce("root", "body").alias("root")), "rooted")
+        sizes = rooted.groupBy("part", "root").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("part").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("apart")).where("apart > 1").drop("apart")
+        split = materialize(rooted.join(shuffled(most), "part"), "split")
+        # a pair of two components has one end at least outside the largest
+        ends = split.where("root <> most").select("part", F.col("r").alias("q"), F.col("root").alias("other"))
+        pairs = split.join(shuffled(ends), "part").where("root <> other").where(_near(least, "r", "q"))
+        similar = similar.unionByName(verified(pairs.select(F.col("r.body").alias("x"), F.col("q.body").alias("y"))))
+    return similar.where("a <> b").select("a", "b").unionByName(equal)

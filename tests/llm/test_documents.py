@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from gridlake.llm import bpe, langid, packing, pii, quality, simhash, substring
+from gridlake.llm import bpe, langid, minhash, packing, pii, quality, simhash, substring
 from tests.llm import brute
 
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -400,3 +400,39 @@ def test_long_and_joined_identifiers():
     for cue, found, rest in (("token: ", secret, " end"), ("secret=", "sk_live_51Habc1234XYZ987", "\nx"), ("Token ", "eyJhbGci1.eyJzdWI2.Sf-lK3_wR4", ". Next"), ("account ", "A-123456", ".")):
         text = cue + found + rest
         assert pii.redact(text, pii.find(text, pii.anchors())) == f"{cue}[account]{rest}"
+
+
+def test_near_copies_among_texts_that_share_a_passage(spark, monkeypatch):
+    """Pairs at 0.8 or more among many at 0.78, and groups whose members meet by few links, against all pairs."""
+    r = random.Random(6)
+    core = " ".join(f"c{i}" for i in range(204))
+    texts = []
+    for k in range(60):
+        tail = [f"t{k}x{i}" for i in range(28)]
+        for n in range(2):
+            texts.append(core + " " + " ".join([*tail[:10], *(f"{w}n{n}" for w in tail[10:])]))
+    base = [f"b{i}" for i in range(100)]
+    for k in range(60):
+        edited = list(base)
+        for at in r.sample(range(100), r.choice([1, 2])):
+            edited[at] = f"e{k}"
+        texts.append(" ".join(edited))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    fps = [brute.simhash(t) for t in texts]
+    assert len(set(fps)) == len(fps) and 60 < len(near) < 1700
+
+    def groups(pairs):
+        lead = {f: f for f in fps}
+        for a, b in pairs:
+            low, high = sorted((lead[a], lead[b]))
+            lead = {f: low if x == high else x for f, x in lead.items()}
+        return lead
+
+    expected = groups((fps[i], fps[j]) for i, j in near)
+    assert len(set(expected.values())) > 60
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for reach in (minhash.REACH, 1):
+        monkeypatch.setattr(minhash, "REACH", reach)
+        found = [(p.a % 2**64, p.b % 2**64) for p in minhash.links(docs).collect()]
+        assert groups(found) == expected
