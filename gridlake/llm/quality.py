@@ -4,9 +4,8 @@ Every document's byte 4-grams are hashed into ``BUCKETS`` bins.  Two multinomial
 to the raw corpus (all documents) and one to a trusted target (documents labelled good).  A document's score is
 the sum of log(trusted / raw) over its n-grams divided by their number.  Documents under a fixed threshold go.
 
-Bounds: the model is 2 x ``BUCKETS`` counts whatever the input.  The trusted target is learned from at most
-``sample`` labelled rows of either class (those with the smallest hash of their id), which are broadcast; the raw
-counts cover every document.
+Bounds: the model is 2 x ``BUCKETS`` counts whatever the input.  The raw counts cover every document, the trusted ones every document labelled good; these
+meet their labels by a shuffle, for which a bitmap of ``BITS`` bits spares most other texts.  The threshold is the exact quantile of all trusted scores.
 """
 
 from __future__ import annotations
@@ -19,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import input_columns, texts, windows_of_bytes
+from gridlake.llm.common import input_columns, materialize, shuffled, texts, windows_of_bytes
 
 BUCKETS = 1 << 16
+#: Bits of the map of labelled ids, in blocks of Spark's bitmaps.
+BITS = 1 << 22
+BLOCK = 1 << 15
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -81,60 +83,90 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, trusted = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    counts = np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
-        flags = batch.column(1).to_pylist()
         waiting: list[np.ndarray] = []
         size = 0
-        for data, flag in zip(texts(batch), flags):
-            bins = buckets(data)
-            if flag:
-                np.add(trusted, np.bincount(bins, minlength=BUCKETS), out=trusted)
-            waiting.append(bins)
-            size += len(bins)
+        for data in texts(batch):
+            waiting.append(buckets(data))
+            size += len(waiting[-1])
             if size > 1 << 21:
-                raw += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
                 waiting, size = [], 0
         if waiting:
-            raw += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
-    seen = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(trusted[seen])], names=["bin", "raw", "trusted"])
+            counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["bin", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = 8192, reject: float = 0.001, margin: float = 0.1) -> Model:
-    """Fit both multinomials and the threshold.
+def _counted(docs: DataFrame) -> np.ndarray:
+    counts = np.zeros(BUCKETS)
+    for row in docs.select("text").mapInArrow(_count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        counts[row.bin] = row.n
+    return counts
 
-    ``sample`` bounds the labelled rows used of either class.  The threshold is the ``reject`` quantile of the
-    trusted rows' scores less ``margin`` nats a gram.  Rows of ``labels`` with a null id or a quality other than 0 or 1 are
+
+def _labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of those rows of ``docs`` (id, text) whose id is in ``ids``."""
+    ids = ids.select(F.col("id").cast(docs.schema["id"].dataType).alias("id"))
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
+    blocks = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    held = np.zeros((BITS // BLOCK, BLOCK // 8), dtype=np.uint8)
+    for row in blocks.collect():  # at most BITS / BLOCK rows
+        held[row.block - 1] = np.frombuffer(row.bits, dtype=np.uint8)
+    held = held.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy() - 1
+            yield batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1, pa.bool_())).select([0, 1])
+
+    some = docs.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(run, docs.schema)
+    return some.join(shuffled(ids), "id", "left_semi").select("text")
+
+
+def _ranked(keys: DataFrame, rank: int) -> int:
+    """The ``rank``-th smallest ``key`` (a long, from 1), by 16 bits a round."""
+    for shift in (48, 32, 16, 0):
+        found = sorted(tuple(r) for r in keys.groupBy(F.shiftright("key", shift).alias("top")).count().collect())  # at most 65,536 rows
+        for top, n in found:
+            if rank <= n:
+                break
+            rank -= n
+        keys = keys.where(F.shiftright("key", shift) == top)
+    return top
+
+
+def _key(scores: np.ndarray) -> np.ndarray:
+    """Doubles as longs of the same order; also turns them back."""
+    bits = scores.view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", reject: float = 0.001, margin: float = 0.1) -> Model:
+    """Fit both multinomials and the threshold, on all documents and all labels.
+
+    The threshold is the ``reject`` quantile of the trusted rows' scores less ``margin`` nats a gram.  Rows of ``labels`` with a null id or a quality other than 0 or 1 are
     not used; an id that is labelled both ways counts as untrusted.  Without trusted rows all ratios are 0 and
     no document is rejected by score.
     """
     d = input_columns(docs, id=id_col, text=text_col)
     rated = input_columns(labels, id=id_col, quality=quality_col).where("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
-    chosen = None
-    for quality in (0, 1):
-        part = rated.where(F.col("quality") == quality).orderBy(F.xxhash64("id"), "id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 x sample ids: bounded by a parameter, so it may come to the driver and be broadcast
-    known = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], chosen.schema)
-    marked = d.join(F.broadcast(known), "id", "left").select("text", (F.col("quality") == 1).alias("trusted"))
-    sums = marked.mapInArrow(_count, "bin int, raw long, trusted long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in sums.collect():  # at most BUCKETS rows
-        raw[row.bin], trusted[row.bin] = row.raw, row.trusted
+    good = materialize(_labelled(d, rated.where("quality = 1")), "trusted")
+    trusted = _counted(good)
     if not trusted.sum():
         return Model(np.zeros(BUCKETS), -np.inf)
+    raw = _counted(d)
     ratios = np.log((trusted + 0.5) / (trusted.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
     model = Model(ratios, -np.inf)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.score(x) for x in texts(batch)], pa.float64())], names=["score"])
+            yield pa.RecordBatch.from_arrays([pa.array(_key(np.array([model.score(x) for x in texts(batch)], dtype=float) + 0.0), pa.int64())], names=["key"])
 
-    good = d.join(F.broadcast(known.where("quality = 1").select("id")), "id", "left_semi").select("text")
-    # an id may have any number of rows: the quantile is taken by Spark, exact up to a million rows
-    least = good.mapInArrow(score, "score double").agg(F.percentile_approx("score", reject, 1_000_000).alias("least")).first().least
-    return Model(ratios, least - margin)
+    keys = materialize(good.mapInArrow(score, "key long"), "scores")
+    least = _ranked(keys, max(1, int(np.ceil(reject * keys.count()))))
+    return Model(ratios, float(_key(np.array([least], dtype=np.int64).view(float)).view(float)[0]) - margin)
 
 
 def _judge(model: Model, batch: pa.RecordBatch, text: str) -> list[tuple]:

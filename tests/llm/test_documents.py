@@ -436,3 +436,18 @@ def test_near_copies_among_texts_that_share_a_passage(spark, monkeypatch):
         monkeypatch.setattr(minhash, "REACH", reach)
         found = [(p.a % 2**64, p.b % 2**64) for p in minhash.links(docs).collect()]
         assert groups(found) == expected
+
+
+def test_quality_learns_from_all_labels(spark):
+    """More trusted rows than 8,192, and both they and the threshold count whole; against plain counts."""
+    rows = [(i, f"t{i * 7919 % 9973} word") for i in range(9000)]
+    docs = spark.createDataFrame([*rows, (9000, "other text here"), (3, "twice"), (None, "none")], "doc_id long, text string")
+    labels = spark.range(9000).selectExpr("int(id) as doc_id", "1 as quality").unionByName(spark.createDataFrame([(9000, 0)], "doc_id int, quality int"))
+    model = quality.fit(docs, labels)
+    trusted = np.concatenate([quality.buckets(t.encode()) for t in [*(t for _, t in rows), "twice"]])
+    raw = np.concatenate([trusted, *(quality.buckets(t) for t in (b"other text here", b"none"))])
+    a, b = np.bincount(trusted, minlength=quality.BUCKETS), np.bincount(raw, minlength=quality.BUCKETS)
+    plain = np.log((a + 0.5) / (a.sum() + 0.5 * quality.BUCKETS)) - np.log((b + 0.5) / (b.sum() + 0.5 * quality.BUCKETS))
+    assert np.allclose(model.ratios, plain, rtol=0, atol=1e-12)
+    scores = sorted(model.score(t.encode()) for t in [*(t for _, t in rows), "twice"])
+    assert model.threshold == scores[9] - 0.1
