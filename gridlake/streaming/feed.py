@@ -19,6 +19,10 @@ from gridlake.operators import log as wl
 from gridlake.schema import GridError, Schema, invalid
 
 
+#: Changes of a chunk that are kept together when its forms are made.
+GROUP = 64
+
+
 def changes(log: DataFrame, schema: Schema, geometry: Geometry, *, after: int | None = None, upto: int | None = None, area: areas.Area | None = None, columns: list[str] | None = None, before: bool = True) -> DataFrame:
     """Changed blocks: rev, commit_time_ms, user, chunk and block coordinates, ``before`` and ``after`` (null if absent).
 
@@ -52,23 +56,25 @@ def events(found: DataFrame, geometry: Geometry) -> DataFrame:
 def chunk_forms_at_commits(log: DataFrame, schema: Schema, geometry: Geometry) -> DataFrame:
     """(rev, chunk, ``cells``): each touched chunk's present blocks after each commit that changed it.
 
-    A change is valid until its block's next one.  A chunk's commits are put into ranges of as many revisions as the chunk has blocks; a change
-    is copied to the ranges it is valid in that hold commits, and meets the commits of each there.  So what is joined is bounded by the forms' sizes
-    and the writes of a range, however many commits a chunk has.
+    A change is valid until its block's next one.  A chunk's commits are put into groups of about ``GROUP`` changes (fewer if a chunk is smaller); a change
+    is copied to the groups it is valid in, and a group's changes are one array, from which each of its commits takes those valid at it.  So what is shuffled is a
+    fraction of the forms, however many commits a chunk has and however far apart they are, and no table is broadcast, as all grow with the log.
     """
     at = geometry.addressed(log) if geometry.chunks[0] not in log.columns else log
-    span = prod(geometry.chunk)
+    span = min(prod(geometry.chunk), GROUP)
     history = wl.history(at, schema, geometry).where("effective").withColumn("_range", F.expr(f"rev div {span}L"))
     chunk, block = Window.partitionBy(*geometry.chunks), Window.partitionBy(*geometry.blocks).orderBy("rev")
-    ranges = history.select(*geometry.chunks, "_range").distinct().withColumns({"_nth": F.row_number().over(chunk.orderBy("_range")), "_last": F.count("*").over(chunk).cast("int")})
-    ranked = history.join(ranges, [*geometry.chunks, "_range"])
+    ranges = history.groupBy(*geometry.chunks, "_range").agg(F.count("*").alias("_n"))
+    ranges = ranges.withColumn("_group", F.floor((F.sum("_n").over(chunk.orderBy("_range")) - F.col("_n")) / span))
+    ranges = ranges.withColumn("_nth", F.dense_rank().over(chunk.orderBy("_group"))).withColumn("_last", F.max("_nth").over(chunk))
+    ranked = history.join(ranges.select(*geometry.chunks, "_range", "_nth", "_last").hint("merge"), [*geometry.chunks, "_range"])
     spans = ranked.withColumns({"until": F.lead("rev").over(block), "_end": F.coalesce(F.lead("_nth").over(block), F.col("_last"))}).where("after is not null")
-    spans = spans.select(*geometry.chunks, geometry.local_index().alias("index"), F.col("after").alias("row"), F.col("rev").alias("since"), "until", F.explode(F.sequence("_nth", "_end")).alias("_nth"))
+    spans = spans.select(*geometry.chunks, F.struct(geometry.local_index().alias("index"), F.col("rev").alias("since"), "until", F.col("after").alias("row")).alias("change"), F.explode(F.sequence("_nth", "_end")).alias("_nth"))
+    held = spans.groupBy(*geometry.chunks, "_nth").agg(F.sort_array(F.collect_list("change")).alias("held"))
     commits = ranked.select("rev", *geometry.chunks, "_nth").distinct()
-    valid = (F.col("since") <= F.col("rev")) & (F.col("until").isNull() | (F.col("until") > F.col("rev")))
-    same = [commits[c] == spans[c] for c in (*geometry.chunks, "_nth")]
-    joined = commits.join(spans, [*same, valid], "left").select("rev", *[commits[c].alias(c) for c in geometry.chunks], F.when(F.col("since").isNotNull(), F.struct("index", "row")).alias("cell"))
-    return joined.groupBy("rev", *geometry.chunks).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    cells = F.expr("transform(filter(held, c -> c.since <= rev and (c.until is null or c.until > rev)), c -> struct(c.index as index, c.row as row))")
+    joined = commits.join(held.hint("merge"), [*geometry.chunks, "_nth"], "left")
+    return joined.select("rev", *geometry.chunks, F.coalesce(cells, F.array().cast(joined.select(cells).schema[0].dataType)).alias("cells"))
 
 
 def schema_events(found: DataFrame, versions: list[tuple[int, int]]) -> DataFrame:

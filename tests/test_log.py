@@ -193,3 +193,35 @@ def test_positions():
     assert feed.start(("e", 4), "e", 9, 5) == ("resync", 9)
     assert feed.start(("p", 7), "e", 9, 0, ("p", 7)) == ("change", 7)
     assert feed.start(("p", 6), "e", 9, 0, ("p", 7)) == ("resync", 9)
+
+
+@pytest.mark.parametrize("seed,group", [(7, 64), (8, 3), (9, 1)])
+def test_chunk_forms_after_each_commit(spark, monkeypatch, seed, group):
+    monkeypatch.setattr(feed, "GROUP", group)
+    # revisions far apart, and three at a time in one commit as a transaction writes them
+    rows, seen = [], set()
+    for row in random_log(seed):
+        rev = 1000 * (row[0] // 3)
+        if (rev, *row[3:5]) not in seen:
+            seen.add((rev, *row[3:5]))
+            rows.append((rev, *row[1:]))
+    rows += [(10**6, 0, "u", x, y, "D", None, None, None, None) for x in (0, 1) for y in (0, 1)]
+    want = {}
+    for rev in sorted({r[0] for r in rows}):
+        state, effective, _ = model([r for r in rows if r[0] <= rev])
+        for cx, cy in {(x // 2, y // 2) for at, x, y, *_ in effective if at == rev}:
+            want[rev, cx, cy] = sorted((x % 2 + 2 * (y % 2), key(v)) for (x, y), v in state.items() if (x // 2, y // 2) == (cx, cy))
+    forms = feed.chunk_forms_at_commits(spark.createDataFrame(rows, SHAPE), SCHEMA, GEOMETRY)
+    got = [(r.rev, r.cx, r.cy, [(c["index"], key(as_dict(c.row))) for c in r.cells]) for r in forms.collect()]
+    assert len(got) == len(want) and {t[:3]: t[3] for t in got} == want
+    assert want[10**6, 0, 0] == []
+
+
+def test_chunk_forms_broadcast_nothing(spark, sf):
+    from gridlake.plans.views import Events
+
+    e = Events(spark, sf)
+    forms = feed.chunk_forms_at_commits(e.log, e.schema, e.geometry)
+    forms.collect()
+    plan = forms._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
