@@ -4,6 +4,9 @@ Shingles have one order for all texts: rare ones first, by counts of all shingle
 share a shingle among the first n - ceil(least * n) + 1 of either (n: its size), so no pair is left to chance.  Whatever the counts are, any order is right; rare
 first keeps common passages out of the prefixes.
 
+Before exact sets are compared, parities bound the similarity: each set has about a bit for each shingle, turned by the shingles that fall there, and where two sets'
+bits differ a shingle is in one of them only.  So most pairs that share a passage but aren't near are left without carrying their sets, and no near pair is.
+
 Texts with equal shingle sets cost one row.  Of the sets that share a prefix shingle, in an order of its own by hash, each is first compared with the
 ``REACH`` before it: all pairs of up to ``REACH`` + 1 sets.  Where more share it, the sets that aren't yet connected are then compared, in all pairs of
 different components, so a large group of near copies costs a number of rows linear in its size and no link between components is left out.
@@ -26,6 +29,8 @@ from gridlake.llm.simhash import SHINGLE, majority, shingle_values
 BINS = 1 << 16
 REACH = 6
 LEAST = 0.8
+#: Bits of the filter of texts whose sets are asked for: a multiple of ``PAGE``, the bits of one of Spark's bitmaps.
+FILTER, PAGE = 1 << 25, 1 << 15
 
 
 def shingles(data: bytes, values: np.ndarray) -> np.ndarray:
@@ -76,6 +81,37 @@ def prefix(found: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     return found[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Bits that each shingle turns once, as 64-bit integers: a power of two of them that has a bit for each shingle at least."""
+    bits = 64 << ((len(found) - 1) >> 6).bit_length()
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _possible(least: float) -> str:
+    """Whether sets of sizes ``nx`` and ``ny`` with parities ``px`` and ``py`` can reach the similarity; the longer parity is folded to the shorter."""
+    fold = "if(size({0}) > w, {0}[i] ^ {0}[i + w], {0}[i])"
+    turned = f"aggregate(sequence(0, w - 1), 0, (s, i) -> s + bit_count({fold.format('px')} ^ {fold.format('py')}))".replace("w", "least(size(px), size(py))")
+    return f"greatest(size(px), size(py)) <= 2 * least(size(px), size(py)) and {turned} <= {(1 - least) / (1 + least)!r} * (nx + ny) + 1e-6"
+
+
+def _among(d: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``d`` with a body of ``asked``, and few others: by a bitmap of ``FILTER`` bits, so that other texts aren't shuffled."""
+    at = asked.select(F.expr(f"1 + (body & {FILTER - 1}L)").alias("at"))
+    pages = at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    marked = np.zeros((FILTER // PAGE, PAGE // 8), dtype=np.uint8)
+    for row in pages.collect():  # at most FILTER bits
+        marked[row.page - 1] = np.frombuffer(row.bits, dtype=np.uint8)
+    marked = marked.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(0).to_numpy() & (FILTER - 1)
+            yield batch.filter(pa.array((marked[bit >> 3] >> (bit & 7)) & 1).cast(pa.bool_()))
+
+    return d.mapInArrow(run, "body long, text string").join(shuffled(asked), "body", "left_semi")
+
+
 def _near(least: float, x: str, y: str) -> str:
     """Whether sets of sizes ``n``, whose first common shingle is at places ``pos``, can reach the similarity."""
     return f"least({x}.n, {y}.n) >= {least} * greatest({x}.n, {y}.n) - 1e-6 and 1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1 >= {least / (1 + least)!r} * ({x}.n + {y}.n) - 1e-6"
@@ -98,12 +134,12 @@ def links(docs: DataFrame, *, text_col: str = "text", least: float = LEAST) -> D
                 if len(values):
                     found = shingles(data, values)
                     key = np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)
-                    rows.append((body, majority(values).view(np.int64), key, len(found), prefix(found, counts, least).view(np.int64)))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names=["body", "fp", "key", "n", "first"])
+                    rows.append((body, majority(values).view(np.int64), key, len(found), prefix(found, counts, least).view(np.int64), parity(found)))
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[4:])], names=["body", "fp", "key", "n", "first", "parity"])
 
-    sketched = materialize(d.mapInArrow(sketch, "body long, fp long, key long, n long, first array<long>"), "sketches")
-    one = sketched.groupBy("key").agg(F.min(F.struct("body", "fp", "n", "first")).alias("one"))
+    sketched = materialize(d.mapInArrow(sketch, "body long, fp long, key long, n long, first array<long>, parity array<long>"), "sketches")
+    one = sketched.groupBy("key").agg(F.min(F.struct("body", "fp", "n", "first", "parity")).alias("one"))
     one = materialize(one.select("key", "one.*"), "sketched-sets")
     equal = sketched.select("key", F.col("fp").alias("a")).distinct().join(shuffled(one.select("key", F.col("fp").alias("b"))), "key").where("a <> b").select("a", "b")
 
@@ -114,8 +150,10 @@ def links(docs: DataFrame, *, text_col: str = "text", least: float = LEAST) -> D
 
     def verified(met: DataFrame) -> DataFrame:
         met = materialize(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "met")
+        x, y = (one.select(F.col("body").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "xy")
+        met = materialize(met.join(shuffled(x), "x").join(shuffled(y), "y").where(_possible(least)).select("x", "y"), "possible")
         asked = met.select(F.col("x").alias("body")).unionByName(met.select(F.col("y").alias("body"))).distinct()
-        sets = materialize(d.join(shuffled(asked), "body", "left_semi").dropDuplicates(["body"]).mapInArrow(_sets, "body long, fp long, found array<long>"), "sets")
+        sets = materialize(_among(d, asked).dropDuplicates(["body"]).mapInArrow(_sets, "body long, fp long, found array<long>"), "sets")
         x, y = (sets.select(F.col("body").alias(c), F.col("fp").alias(fp), F.col("found").alias(f"of_{c}")) for c, fp in (("x", "a"), ("y", "b")))
         both = met.join(shuffled(x), "x").join(shuffled(y), "y").select("x", "y", "a", "b", (F.size("of_x") + F.size("of_y")).alias("n"), F.size(F.array_intersect("of_x", "of_y")).alias("shared"))
         return materialize(both.where(F.col("shared") / (F.col("n") - F.col("shared")) >= least).select("x", "y", "a", "b"), "similar")

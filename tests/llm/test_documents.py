@@ -438,6 +438,44 @@ def test_near_copies_among_texts_that_share_a_passage(spark, monkeypatch):
         assert groups(found) == expected
 
 
+def test_pairs_that_only_share_a_passage_carry_no_sets(spark, monkeypatch):
+    """Half of two texts is shared and rare, so they meet; their other halves are common, which prefixes and places don't tell."""
+    counts, write = {}, minhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        counts.setdefault(name, out.count())  # of the first round
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    part = lambda name: " ".join(f"{name}w{i}" for i in range(40))
+    texts = [f"{part(f's{k // 2}')} {part(f'u{k}')}" for k in range(8)]
+    texts += [f"{part(f'u{k}')} {part(f'o{k}n{n}')}" for k in range(8) for n in range(3)]
+    assert minhash.links(spark.createDataFrame([(t,) for t in texts], "text string")).count() == 0
+    assert counts["met"] >= 4 and counts["sets"] == 0
+
+
+def test_parities_keep_every_near_pair(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for n in (1, 5, 63, 64, 65, 100, 128, 129, 255, 257, 600, 3000):
+        for common in {n, -(-8 * n // 9), -(-9 * n // 10)}:
+            a = r.integers(0, 2**64, n, dtype=np.uint64)
+            for more in {n - common, max(0, int(common / 0.8) - n)}:
+                b = np.concatenate([a[:common], r.integers(0, 2**64, more, dtype=np.uint64)])
+                rows.append((len(a), len(b), minhash.parity(a).tolist(), minhash.parity(b).tolist(), bool(common >= 0.8 * (n + more))))
+    pairs = spark.createDataFrame(rows, "nx long, ny long, px array<long>, py array<long>, near boolean")
+    assert pairs.where("near").count() > 30
+    assert pairs.where("near").where(f"not ({minhash._possible(0.8)})").count() == 0
+
+
+def test_texts_asked_for_are_all_kept(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FILTER", minhash.PAGE * 2)
+    d = spark.range(3000).selectExpr("xxhash64(id) as body", "string(id) as text")
+    asked = d.where("text % 7 = 0").select("body").unionByName(spark.createDataFrame([(5,), (-1,), (2**63 - 1,), (-(2**63),)], "body long"))
+    assert sorted(int(r.text) for r in minhash._among(d, asked).collect()) == list(range(0, 3000, 7))
+
+
 def test_quality_learns_from_all_labels(spark):
     """More trusted rows than 8,192, and both they and the threshold count whole; against plain counts."""
     rows = [(i, f"t{i * 7919 % 9973} word") for i in range(9000)]
