@@ -4,7 +4,8 @@ Vectors are turned by several learned rotations (iterative quantisation) and the
 log2(rows) bits, each with an index: a table (substring number, value) -> row, met by the queries through one equi-join.  A query
 probes, in each table, every value within ``reach`` bits of its own, so by pigeonhole every row is found whose tables' bits differ in
 fewer than tables * (reach + 1) places, and others with a chance that falls with their distance.  What is fetched is verified in the join by the
-Hamming distance of the first ``BITS`` bits, then ranked by cosine on the original vectors.
+Hamming distance of the first ``BITS`` bits, then ranked by cosine on the original vectors.  A pair that an earlier of the tables within these bits fetches too is left to
+that one, so a query and its near copies meet once and not in every table.
 
 Rotations are learned from at most ``sample`` rows.  The number of tables, the reach and the radius are learned from the true neighbours of at most
 ``TRIED`` of them among all rows, one pass that is linear in the rows: the cheapest choice that holds ``HOLD`` of these neighbours.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from gridlake.llm.common import materialize, shuffled
 
-BITS = 256
+BITS = 512
+CODE = [f"c{i}" for i in range(BITS // 64)]
 #: Most substrings, and most bits that a probe differs in at first.
 TABLES = 96
 REACH = 3
@@ -61,6 +63,18 @@ class Index:
         """All differences of ``reach`` bits or fewer."""
         return [sum(1 << i for i in flipped) for n in range(self.reach + 1) for flipped in combinations(range(self.width), n)]
 
+    def first(self) -> str:
+        """Whether no table before ``s`` fetches a pair with codes ``CODE`` and q``CODE``, of the tables whose bits the codes hold."""
+        tests = []
+        for k in range(min(self.tables, BITS // self.width)):
+            bits, apart = ((1 << self.width) - 1) << k * self.width, []
+            for i, c in enumerate(CODE):
+                if part := bits >> 64 * i & (1 << 64) - 1:
+                    part -= part >> 63 << 64  # as a signed integer
+                    apart.append(f"bit_count(({c} ^ q{c}) & {f'{part}L' if part > -(1 << 63) else 'shiftleft(1L, 63)'})")
+            tests.append(f"(s <= {k} or {' + '.join(apart)} > {self.reach})")
+        return " and ".join(tests)
+
     def pigeonhole(self) -> int:
         """Every row whose tables' bits differ in at most so many places is found."""
         return self.tables * (self.reach + 1) - 1
@@ -152,27 +166,28 @@ def _neighbours(rows: DataFrame, asked: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def _coded(rows: DataFrame, index: Index, d: int) -> DataFrame:
-    """(h, g, c0 .. c3, value): codes, and the substrings as an array."""
+    """(h, g, ``CODE``, value): codes, and the substrings as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = index.bits(_unit(_matrix(batch.column(2), d)))
             values = index.values(bits)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * index.tables, pa.int32()), pa.array(values.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in np.ascontiguousarray(codes(bits).T)), lists], names=["h", "g", "c0", "c1", "c2", "c3", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in np.ascontiguousarray(codes(bits).T)), lists], names=["h", "g", *CODE, "value"])
 
-    return rows.select("h", "g", "v").mapInArrow(run, "h long, g long, c0 long, c1 long, c2 long, c3 long, value array<int>")
+    made = rows.select("h", "g", "v").mapInArrow(run, f"h long, g long, {', '.join(f'{c} long' for c in CODE)}, value array<int>")
+    return made.withColumns({c: F.coalesce(c, F.lit(0)) for c in CODE})  # not nullable, which keeps the join's code short
 
 
 def fetched(rows: DataFrame, asked: DataFrame, index: Index, d: int, *, verify: bool = True) -> DataFrame:
-    """(qh, qg, h, g): what the probes of ``asked`` fetch from the index of ``rows``, a pair as often as tables have it; within the radius if ``verify``."""
-    code = ["c0", "c1", "c2", "c3"]
-    entries = _coded(rows, index, d).select("h", "g", *code, F.posexplode("value").alias("s", "value"))
-    probes = _coded(asked, index, d).select(F.col("h").alias("qh"), F.col("g").alias("qg"), *[F.col(c).alias(f"q{c}") for c in code], F.posexplode("value").alias("s", "value"))
+    """(qh, qg, h, g): what the probes of ``asked`` fetch from the index of ``rows``; within the radius if ``verify``.  A pair comes once if a table within the codes' bits fetches it, else from each table."""
+    entries = _coded(rows, index, d).select("h", "g", *CODE, F.posexplode("value").alias("s", "value"))
+    probes = _coded(asked, index, d).select(F.col("h").alias("qh"), F.col("g").alias("qg"), *[F.col(c).alias(f"q{c}") for c in CODE], F.posexplode("value").alias("s", "value"))
     probes = probes.withColumn("mask", F.explode(F.lit(index.masks()))).withColumn("value", F.expr("value ^ mask")).drop("mask")
     found = probes.join(shuffled(entries), ["s", "value"])
     if verify:
-        found = found.where(" + ".join(f"bit_count({c} ^ q{c})" for c in code) + f" <= {index.radius}")
+        found = found.where(" + ".join(f"bit_count({c} ^ q{c})" for c in CODE) + f" <= {index.radius}")
+    found = found.where(index.first())
     return found.select("qh", "qg", "h", "g")
 
 

@@ -65,6 +65,21 @@ def test_pigeonhole_probing_finds_every_code_in_the_radius(spark):
         assert not verify or all(far[q, i] <= 60 for q, i in found)
 
 
+def test_near_copies_are_fetched_once(spark):
+    """And what is fetched is the same set of pairs as of tables compared one by one, with and without tables beyond the codes' bits."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((200, 32)), rng.standard_normal(32) + 1e-6 * rng.standard_normal((50, 32))])
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "h long, g long, v array<double>")
+    for tables, width, reach in ((20, 9, 1), (96, 9, 0), (7, 13, 2)):
+        index = ann.Index(ann.learn(ann._unit(x), 400).turns[:, : max(ann.BITS, tables * width)], width, tables=tables, reach=reach, radius=ann.BITS)
+        bits = index.bits(ann._unit(x))
+        tabled = (bits[:, None] != bits[None])[:, :, : tables * width].reshape(250, 250, tables, width).sum(axis=3) <= reach
+        got = [(r.qh, r.h) for r in ann.fetched(rows, rows.where("h >= 190 and h < 210"), index, 32).collect()]
+        assert set(got) == {(q, i) for q in range(190, 210) for i in range(250) if tabled[q, i].any()}
+        assert sum(q >= 200 and i >= 200 for q, i in got) == 10 * 50
+        assert len(got) == len(set(got)) or tables * width > ann.BITS
+
+
 def test_vectors_that_are_all_one_and_more_than_a_block(spark):
     """A third of the rows are one vector, and ties go to smaller ids."""
     same, rng = [1.0, 2.0, 3.0, 4.0], np.random.default_rng(2)
