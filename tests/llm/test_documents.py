@@ -455,6 +455,48 @@ def test_pairs_that_only_share_a_passage_carry_no_sets(spark, monkeypatch):
     assert counts["met"] >= 4 and counts["sets"] == 0
 
 
+def test_crowds_cost_a_row_only_where_a_pair_can_be_near(spark, monkeypatch):
+    """Three crowds of 120 whose sets share 0.6 or less of rare shingles and hold two links each, in blocks of 16; against all pairs."""
+    rows, write = {}, minhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    words = lambda kind, n: " ".join(f"{kind}w{i}" for i in range(n))
+    texts = []
+    for c in range(3):
+        crowd = [f"{words(f'c{c}', 90)} {words(f'o{c}k{k}', 30)}" for k in range(120)]
+        texts += [*crowd, *(f"{t.rsplit(' ', 3)[0]} x{c} y{k} z" for k, t in enumerate(crowd[:2]))]
+    core = {" ".join(w[i : i + 5]) for t in texts[::122] for w in [t.split()[:90]] for i in range(86)}
+    rare = np.concatenate([minhash.shingles(t.encode(), minhash.shingle_values(t.encode(), 3)) for t in sorted(core)])
+    levels = np.full(minhash.BINS, 255, dtype=np.uint8)
+    levels[(rare >> np.uint64(65 - minhash.BINS.bit_length())).astype(np.int64)] = 0
+    monkeypatch.setattr(minhash, "commonness", lambda _: levels)
+    monkeypatch.setattr(minhash, "materialize", counted)
+    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)
+
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    fps = [brute.simhash(t) for t in texts]
+    near = {tuple(sorted((fps[i], fps[j]))) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    found = {tuple(sorted((p.a % 2**64, p.b % 2**64))) for p in minhash.links(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert len(near) == 6 and found == near
+    assert rows["split"] > 0 and rows["met"] + rows["possible"] < 60 * len(texts)
+
+
+def test_a_shared_passage_stays_out_of_prefixes_in_a_larger_corpus(spark):
+    """Three texts share a tenth of their shingles; a million others fall into the same bins."""
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(64))
+    texts = [" ".join(str(r.getrandbits(40)) for _ in range(600)) for _ in range(1800)]
+    shared = [f"{passage} {t}" for t in texts[:3]]
+    levels = minhash.commonness(spark.createDataFrame([(t,) for t in [*texts[3:], *shared]], "text string"))
+    values = lambda t: minhash.shingles(t.encode(), minhash.shingle_values(t.encode(), 3))
+    for t in shared:
+        assert not np.isin(minhash.prefix(values(t), levels, 0.8), values(passage)).any()
+
+
 def test_parities_keep_every_near_pair(spark):
     r = np.random.default_rng(2)
     rows = []
